@@ -9,4 +9,27 @@ ORACLES: dict[str, str] = {
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM f
     """,
+    "op8_units": r"""
+        WITH u AS (
+            SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS unit, unnest(string_split(coalesce(text, ''), chr(10))) AS line
+            FROM documents
+        ), p AS (
+            SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - length(line) - 1 AS BIGINT) AS start,
+                   lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS form
+            FROM u
+        ), g AS (
+            SELECT *, CASE WHEN form <> '' AND length(form) - length(replace(form, ' ', '')) >= 4
+                           THEN row_number() OVER (PARTITION BY form ORDER BY doc_id, unit) > 1 ELSE false END AS gone
+            FROM p
+        ), d AS (
+            SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, max(unit) AS top,
+                   coalesce(string_agg(start || ':' || (start + length(line)), ',' ORDER BY unit) FILTER (gone), '') AS removed,
+                   coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT gone), '') AS kept,
+                   count(*) FILTER (NOT gone) AS n_kept, max(unit) FILTER (NOT gone) AS last_kept
+            FROM g GROUP BY doc_id
+        )
+        SELECT d.doc_id, CASE WHEN coalesce(x.text, '') = '' THEN 0 ELSE n_units END AS n_units, n_removed, removed,
+               sha256(CASE WHEN n_kept > 0 AND last_kept < top THEN kept || chr(10) ELSE kept END) AS kept_sha256
+        FROM d JOIN documents x USING (doc_id)
+    """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, packing, pii, quality, rules, shared, warc
+from . import fingerprint, jaccard, mixing, packing, pii, quality, rules, shared, units, warc
 
 
 def tokenizer_path() -> str:
@@ -55,4 +55,15 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_check(shared.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op3_mixing, op4_pii, op5_quality, op6_packing, op7_rules, op9_fingerprint)}
+def op8_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of five words or more: removed spans as start:end in code points, and a digest of what is left."""
+    found = units.dedup(shared.table(spark, sf_dir, "documents"))
+    joined = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_units", F.size("removed").cast("bigint").alias("n_removed"), joined.alias("removed"), F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(shared.table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op3_mixing, op4_pii, op5_quality, op6_packing, op7_rules, op8_units, op9_fingerprint, op10_jaccard)}
