@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard, mixing, packing, pii, quality, rules, shared, units, warc
+from . import fingerprint, jaccard, mixing, packing, pii, quality, rules, shared, suffix, units, warc
 
 
 def tokenizer_path() -> str:
@@ -24,6 +24,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.dedup(shared.table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(shared.table(spark, sf_dir, "documents")).drop("source")
 
@@ -66,4 +72,4 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(shared.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op3_mixing, op4_pii, op5_quality, op6_packing, op7_rules, op8_units, op9_fingerprint, op10_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_mixing, op4_pii, op5_quality, op6_packing, op7_rules, op8_units, op9_fingerprint, op10_jaccard)}
