@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,3 +122,30 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), repeats: in
     args = (F.greatest("blocks", F.lit(1)), F.col("rest"), start, F.lit(block))
     taken = F.col("passes") * F.col("size") + _chosen(F.col("end"), *args) - _chosen(F.col("end") - F.col("size"), *args)
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+
+
+def realise(docs: DataFrame, mixed: DataFrame, keep: Sequence[str] = ("lang", "source")) -> DataFrame:
+    """The mix as rows: doc_id, text and the columns ``keep``, a row for each whole time that a document is taken and one
+    with its first words for the rest. Rows of one doc_id and size are taken alike, as the one most taken."""
+    plan = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken")).where("_taken > 0")
+    sized = docs.select("doc_id", "text", *keep).withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
+    joined = sized.join(shared.small(shared.written(plan, "mix")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size"))).select("doc_id", "text", *keep, "_n", "_taken")
+    word = re.compile(WORD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                row, out = [], []
+                for k, (text, n, taken) in enumerate(zip(*(part.column(c).to_pylist() for c in ("text", "_n", "_taken")), strict=True)):
+                    row += [k] * (taken // n)
+                    out += [text] * (taken // n)
+                    if rest := taken % n:
+                        ends = (m.end() for m in word.finditer(text))
+                        row.append(k)
+                        out.append(text[: next(e for j, e in enumerate(ends, 1) if j == rest)])
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), pa.array(out, pa.string()), *(part.column(c).take(at) for c in keep)], ["doc_id", "text", *keep])
+
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "text", *keep))
+    return joined.mapInArrow(run, schema)
