@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -20,10 +21,10 @@ class Parsed:
     must: list[str] = field(default_factory=list)
     never: list[str] = field(default_factory=list)
     terms: list[tuple[str, float]] = field(default_factory=list)
-    clauses: list[tuple[str, Column | Parsed, str]] = field(default_factory=list)
+    clauses: list[tuple[str, Callable[[], Column] | Parsed, str]] = field(default_factory=list)
 
     def condition(self) -> Column:
-        each = [(k, c.condition() if isinstance(c, Parsed) else c) for k, c, _ in self.clauses]
+        each = [(k, c.condition() if isinstance(c, Parsed) else c()) for k, c, _ in self.clauses]
         must, may, never = ([c for k, c in each if k == x] for x in ("must", "may", "never"))
         out = F.lit(True)
         for c in must:
@@ -81,7 +82,7 @@ def _clauses(query: str, at: int, text: str) -> tuple[Parsed, int]:
             term, condition = _leaf(m, text)
             out.clauses.append((kind, condition, term))
             if kind == "never":
-                out.never.append(term)
+                out.never += [term] * bool(term)
             elif term:
                 out.terms.append((term, float(m["boost"] or 1)))
                 out.must += [term] * (kind == "must")
@@ -89,24 +90,28 @@ def _clauses(query: str, at: int, text: str) -> tuple[Parsed, int]:
     return out, at
 
 
-def _leaf(m: re.Match, text: str) -> tuple[str, Column]:
-    column = F.col(m["field"] or text)
-    tokens = word_tokens(column)
-    if m["phrase"] is not None:
-        words = re.findall("[a-z0-9]+", m["phrase"].lower())
-        return "", F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).contains(f" {' '.join(words)} ")
-    if m["lo"] is not None:
-        closed = m["open"] == "["
-        lo = F.lit(True) if m["lo"] == "*" else (column >= m["lo"] if closed else column > m["lo"])
-        hi = F.lit(True) if m["hi"] == "*" else (column <= m["hi"] if closed else column < m["hi"])
-        return "", lo & hi
-    term = m["term"].lower()
-    if m["field"] and m["field"] != text:
-        return "", F.lower(column.cast("string")) == term
-    if "*" in term or "?" in term:
-        pattern = "^" + re.escape(term).replace(r"\*", ".*").replace(r"\?", ".") + "$"
-        return "", F.exists(tokens, lambda t: t.rlike(pattern))
-    if m["fuzz"] is not None:
-        most = int(float(m["fuzz"] or 2))
-        return "", F.exists(tokens, lambda t: F.levenshtein(t, F.lit(term)) <= most)
-    return term, F.array_contains(tokens, term)
+def _leaf(m: re.Match, text: str) -> tuple[str, Callable[[], Column]]:
+    """The term, if it is a plain one, and what makes the predicate: columns need a session, reading a query doesn't."""
+    name, term = m["field"] or text, (m["term"] or "").lower()
+
+    def predicate() -> Column:
+        column, tokens = F.col(name), word_tokens(F.col(name))
+        if m["phrase"] is not None:
+            words = re.findall("[a-z0-9]+", m["phrase"].lower())
+            return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).contains(f" {' '.join(words)} ")
+        if m["lo"] is not None:
+            closed = m["open"] == "["
+            lo = F.lit(True) if m["lo"] == "*" else (column >= m["lo"] if closed else column > m["lo"])
+            return lo & (F.lit(True) if m["hi"] == "*" else (column <= m["hi"] if closed else column < m["hi"]))
+        if m["field"] and m["field"] != text:
+            return F.lower(column.cast("string")) == term
+        if "*" in term or "?" in term:
+            pattern = "^" + re.escape(term).replace(r"\*", ".*").replace(r"\?", ".") + "$"
+            return F.exists(tokens, lambda t: t.rlike(pattern))
+        if m["fuzz"] is not None:
+            most = int(float(m["fuzz"] or 2))
+            return F.exists(tokens, lambda t: F.levenshtein(t, F.lit(term)) <= most)
+        return F.array_contains(tokens, term)
+
+    plain = m["term"] is not None and m["fuzz"] is None and not set("*?") & set(term) and m["field"] in (None, text)
+    return term if plain else "", predicate
