@@ -29,7 +29,7 @@ def rows(df):
     """Rows as text, numbers rounded, by column name, in order."""
 
     def one(v):
-        if v is None or v != v:
+        if v is None or str(v) == "<NA>" or v != v:
             return "null"
         return repr(round(float(v), 6) + 0.0) if isinstance(v, int | float) or hasattr(v, "dtype") else str(v)
 
