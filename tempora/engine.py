@@ -43,7 +43,7 @@ def parse_epochs(text: str) -> tuple[int, int]:
 
 
 def day_start(epoch: Column) -> Column:
-    return F.unix_timestamp(F.date_trunc("day", F.timestamp_seconds(epoch)))
+    return epoch - F.pmod(epoch, F.lit(86400))
 
 
 def analyze(docs: DataFrame, text: str = "text", **options: object) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A status as JSON: what batch and live ingest read.
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def seconds(name: str) -> Column:
+    """UTC seconds of a timestamp without zone, whatever the session's zone is."""
+    return F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', CAST({name} AS TIMESTAMP_NTZ))").cast("bigint")
+
+
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as statuses: each with its event's time, and counts of its event's user."""
     events = table(spark, sf_dir, "events")
@@ -22,7 +27,7 @@ def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     joined = docs.join(events, docs.doc_id == events.event_id).join(users, "user_id")
     return joined.select(
-        F.col("doc_id").alias("id"), F.col("source").alias("screen_name"), "text", "lang", F.unix_timestamp("ts").alias("epoch"),
+        F.col("doc_id").alias("id"), F.col("source").alias("screen_name"), "text", "lang", seconds("ts").alias("epoch"),
         F.when(F.col("event_type") == "signup", F.col("doc_id") + 1000000).otherwise(F.lit(0)).cast("bigint").alias("retweeted_status_id"),
         F.when(F.col("event_type") == "view", F.col("doc_id") + 1).otherwise(F.lit(0)).cast("bigint").alias("in_reply_to_status_id"),
         F.floor("value").cast("int").alias("followers_count"), F.col("statuses_count").cast("bigint").alias("statuses_count"),

@@ -64,7 +64,7 @@ def _paths(spark: SparkSession) -> tuple[str, str]:
 
 def ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, marks = _paths(spark)
-    events = read_table(spark, f"{sf_dir}/events.parquet").select("event_id", F.unix_timestamp("ts").alias("epoch"), "user_id", "event_type")
+    events = read_table(spark, f"{sf_dir}/events.parquet").select("event_id", tables.seconds("ts").alias("epoch"), "user_id", "event_type")
     _once(events.writeStream.format("parquet").option("path", out), marks).awaitTermination()
     return spark.read.parquet(out)
 
