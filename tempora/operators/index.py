@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.sources import tables
@@ -81,7 +81,8 @@ def build(statuses: DataFrame, path: str, analyze: Callable[[Column], Column] =
     spark = statuses.sparkSession
     statuses.repartitionByRange("epoch").sortWithinPartitions("epoch").write.mode("overwrite").parquet(f"{path}/statuses")
     kept = spark.read.parquet(f"{path}/statuses")
-    found = postings(kept, analyze)
+    # A posting carries its document's length, so that scoring needs no other table.
+    found = postings(kept, analyze).withColumn("dl", F.sum("tf").over(Window.partitionBy("id")))
     found.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
     found = spark.read.parquet(f"{path}/postings")
     doc_lengths(found).write.mode("overwrite").parquet(f"{path}/doclen")

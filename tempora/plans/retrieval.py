@@ -41,21 +41,26 @@ def search(p: Plan, name: str, q: str, limit: int = 1000, where: str = "1 = 1",
     """
     n = f"{mu!r}e0"
     inside = f"AND term IN ({', '.join(repr(t) for t, _ in terms)})" if terms else ""
-    p.add(f"{name}_hit", f"SELECT p.id, p.term, p.tf, {q}.w FROM {{postings}} p JOIN {q} ON p.term = {q}.term WHERE {scope.replace('id ', 'p.id ')} {inside.replace('term', 'p.term')}")
+    p.add(f"{name}_hit", f"SELECT p.id, p.term, p.tf, p.dl, {q}.w FROM {{postings}} p JOIN {q} ON p.term = {q}.term WHERE {scope.replace('id ', 'p.id ')} {inside.replace('term', 'p.term')}")
     p.add(f"{name}_len", f"SELECT id, dl FROM {{doclen}} WHERE {scope}")
     if scope == "1 = 1":
         p.add(f"{name}_size", "SELECT CAST(sum_ctf AS DOUBLE) AS c, CAST(num_docs AS DOUBLE) AS n FROM {coll}")
-        p.add(f"{name}_df", f"SELECT t.term, t.df, t.ctf FROM {{term_stats}} t JOIN {q} ON t.term = {q}.term")
+        p.add(f"{name}_df", f"SELECT t.term, t.df, t.ctf FROM {{term_stats}} t JOIN {q} ON t.term = {q}.term{inside.replace('term', 't.term').replace('AND', ' WHERE', 1) if inside else ''}")
     else:
         p.add(f"{name}_size", f"SELECT CAST(sum(dl) AS DOUBLE) AS c, CAST(count(*) AS DOUBLE) AS n FROM {name}_len")
         p.add(f"{name}_df", f"SELECT term, count(*) AS df, sum(tf) AS ctf FROM {name}_hit GROUP BY term")
     p.add(f"{name}_stat", f"SELECT {q}.term, {q}.w, coalesce(s.df, 0) AS df, coalesce(s.ctf, 0) AS ctf, (coalesce(s.ctf, 0) + 1e0) / (z.c + 1e0) AS p FROM {q} LEFT JOIN {name}_df s ON s.term = {q}.term CROSS JOIN {name}_size z")
     p.add(
         f"{name}_first",
-        f"""SELECT h.id, round(sum(greatest(0e0, s.w * (ln(1e0 + h.tf / ({n} * s.p)) + ln({n} / (l.dl + {n}))))), 9) AS score
-        FROM {name}_hit h JOIN {name}_stat s ON s.term = h.term JOIN {name}_len l ON l.id = h.id GROUP BY h.id""",
+        f"""SELECT h.id, round(sum(greatest(0e0, s.w * (ln(1e0 + h.tf / ({n} * s.p)) + ln({n} / (h.dl + {n}))))), 9) AS score
+        FROM {name}_hit h JOIN {name}_stat s ON s.term = h.term GROUP BY h.id""",
     )
-    p.add(f"{name}_top", f"SELECT s.*, f.score FROM {name}_first f JOIN {{statuses}} s ON s.id = f.id WHERE {where.replace('id ', 's.id ')} ORDER BY f.score DESC, s.id DESC LIMIT {min(MOST, 3 * limit)}")
+    most = min(MOST, 3 * limit)
+    if where == "1 = 1":  # nothing to filter by: the best are known before their rows are fetched
+        p.add(f"{name}_best", f"SELECT id, score FROM {name}_first ORDER BY score DESC, id DESC LIMIT {most}")
+        p.add(f"{name}_top", f"SELECT s.*, f.score FROM {name}_best f JOIN {{statuses}} s ON s.id = f.id")
+    else:
+        p.add(f"{name}_top", f"SELECT s.*, f.score FROM {name}_first f JOIN {{statuses}} s ON s.id = f.id WHERE {where.replace('id ', 's.id ')} ORDER BY f.score DESC, s.id DESC LIMIT {most}")
     p.add(f"{name}_one", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC) AS copy FROM {name}_top WHERE {'1 = 1' if reposts else NO_REPOST}) x WHERE copy = 1")
     p.add(f"{name}_kept", f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id DESC) AS i FROM {name}_one) x WHERE i <= {keep or limit}")
     rescore(p, name, f"{name}_kept", limit, n)
@@ -84,7 +89,7 @@ def feedback_vector(p: Plan, name: str, docs: str, n_docs: int = 50, n_terms: in
     collection's counts; the n_terms largest, scaled to a sum of 1. Probabilities are taken relative to the largest."""
     p.add(f"{name}_docs", f"SELECT id, exp(rsv - max(rsv) OVER ()) AS pr FROM {docs} WHERE j <= {n_docs}")
     length = f"length(p.term) >= {min_len}" + (f" AND length(p.term) <= {max_len}" if max_len else "")
-    p.add(f"{name}_tf", f"SELECT p.term, sum(p.tf * d.pr / l.dl) AS f FROM {name}_docs d JOIN {{postings}} p ON p.id = d.id JOIN {{doclen}} l ON l.id = d.id WHERE {length} AND p.term <> 'rt' GROUP BY p.term")
+    p.add(f"{name}_tf", f"SELECT p.term, sum(p.tf * d.pr / p.dl) AS f FROM {name}_docs d JOIN {{postings}} p ON p.id = d.id WHERE {length} AND p.term <> 'rt' GROUP BY p.term")
     p.add(f"{name}_w", f"SELECT t.term, round(t.f * (ln((c.sum_ctf + 1e0) / (s.ctf + 1e0)) + 1e0), 12) AS w FROM {name}_tf t JOIN {{term_stats}} s ON s.term = t.term CROSS JOIN {{coll}} c")
     return prune(p, name, f"{name}_w", n_terms)
 

@@ -28,7 +28,7 @@ DUCK = {
         CAST(floor(e.value) AS INT) AS followers_count, u.n AS statuses_count
         FROM documents d JOIN events e ON e.event_id = d.doc_id JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) u ON u.user_id = e.user_id""",
     "words": "SELECT id, lower(screen_name) AS screen_name, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM statuses",
-    "postings": "SELECT id, screen_name, term, count(*) AS tf FROM words GROUP BY id, screen_name, term",
+    "postings": "SELECT *, CAST(sum(tf) OVER (PARTITION BY id) AS BIGINT) AS dl FROM (SELECT id, screen_name, term, count(*) AS tf FROM words GROUP BY id, screen_name, term) x",
     "doclen": "SELECT id, screen_name, CAST(sum(tf) AS BIGINT) AS dl, count(*) AS dt FROM postings GROUP BY id, screen_name",
     "term_stats": "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ctf FROM postings GROUP BY term",
     "coll": "SELECT (SELECT count(*) FROM statuses) AS num_docs, count(*) AS num_terms, CAST(sum(df) AS BIGINT) AS sum_df, CAST(sum(ctf) AS BIGINT) AS sum_ctf FROM term_stats",
