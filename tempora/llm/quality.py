@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from .textvec import BASE, Words, chunked, mix, prefix_hash, span_hash
 
 BITS = 17
@@ -155,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     """Fits on labelled rows outside the held-out fold. The driver gets 2 * DIM counts and at most fit_rows rows' n-grams."""
     marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("_id")))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = texts.join(marks, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    # Labels have no text: while they are few enough they go to the documents, and no text is shuffled.
+    rows = texts.join(shared.small(marks, 1_000_000), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
     counts = rows.select("text", "label").mapInArrow(_count, "gram int, n0 bigint, n1 bigint").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     # The sample is chosen among the labels alone, which have no text.
     classes = dict(marks.groupBy("label").count().collect())
