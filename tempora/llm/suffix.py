@@ -316,14 +316,13 @@ def covered(named: DataFrame, width: int = WIDTH, max_fragments: int = MAX_FRAGM
     keys = ["gram", "fragment"]
     distinct = places.groupBy(*keys).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "mark", "first", "windows", "phase")).alias("at"))
     distinct = shared.written(distinct, "distinct")
+    total = max(1, distinct.count())
     grams = distinct.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("copies").alias("places")).where("places > 1")
-    met = shared.written(shared.lookup(distinct, grams, ["gram"], "kinds", max(1, distinct.count()), "inner", spread=("fragment",)), "met")
+    met = shared.written(shared.lookup(distinct, grams, ["gram"], "kinds", total, "inner", spread=("fragment",)), "met")
 
     whole = met.where("kinds = 1").select(*keys, F.array(F.struct(F.lit(0).alias("a"), F.col("at.windows").alias("b"))).alias("ranges"))
     wanted = met.where("kinds > 1")
     by_text = wanted.groupBy(F.col("at.doc_id").alias("_id"), F.col("at.mark").alias("_mark")).agg(F.collect_list(F.struct(*keys, "copies", "kinds", "at.first", "at.windows", "at.phase")).alias("parts"))
-    if wanted.limit(shared.BROADCAST_ROWS + 1).count() <= shared.BROADCAST_ROWS:
-        by_text = F.broadcast(by_text)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,11 +339,11 @@ def covered(named: DataFrame, width: int = WIDTH, max_fragments: int = MAX_FRAGM
     ordered = few.mapInArrow(_sorted(width), "gram bigint, fragment bigint, ranges array<struct<a:int,b:int>>")
     single = bytes_.where(F.col("kinds") > max_fragments).dropDuplicates(keys).select(*keys, "copies", "raw").mapInArrow(_windows(width), "gram bigint, fragment bigint, copies bigint, window bigint, a int")
     often = single.groupBy("gram", "window").agg(F.sum("copies").alias("times")).where("times > 1")
-    dealt = shared.lookup(single, often, ["gram", "window"], "times", 1 << 40, "inner").groupBy(*keys).agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"))).alias("ranges"))
+    dealt = shared.lookup(single, often, ["gram", "window"], "times", total, "inner", spread=("fragment", "a")).groupBy(*keys).agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"))).alias("ranges"))
 
     cover = whole.unionAll(ordered).unionAll(dealt).where(F.size("ranges") > 0)
     cover = shared.written(cover.join(met.select(*keys, "copies"), keys), "cover")
-    joined = shared.lookup(places, cover, keys, "copies", max(1, distinct.count()), "inner", spread=("doc_id", "first"))
+    joined = shared.lookup(places, cover, keys, "copies", total, "inner", spread=("doc_id", "first"))
     moved = F.transform("ranges", lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"]).alias("b")))
     return joined.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(moved)).alias("ranges"))
 
@@ -352,7 +351,7 @@ def covered(named: DataFrame, width: int = WIDTH, max_fragments: int = MAX_FRAGM
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, max_fragments: int = MAX_FRAGMENTS) -> DataFrame:
     """doc_id, n_bytes, ``removed`` (array of start, end in bytes) and ``kept`` (binary) of each row."""
     named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("mark", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    ranges = shared.small(shared.written(covered(named, width, max_fragments), "ranges").withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}), 20_000)
+    ranges = shared.written(covered(named, width, max_fragments), "ranges").withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
