@@ -276,7 +276,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
     weighed = groups.join(classes.select(F.col("class_id").alias("node"), "copies", "n", "sig"), "node")
     shape = weighed.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("windows")).withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("windows") / BLOCK_WINDOWS)).cast("int"))
     placed = shared.lookup(weighed, shape, ["root"], "size", max(1, total), "inner", spread=("node",)).select(F.col("node").alias("class_id"), "root", "copies", "sig", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    active = shared.small(shared.written(placed, "active"))
+    active = shared.written(placed, "active")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,7 +285,9 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
                 found = pa.array([s.tobytes() if signature(s).tobytes() == own else None for s, own in zip(window_sets(data, at, words), batch.column("sig").slice(i, j - i).to_pylist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("class_id", "root", "copies", "sig", "blocks", "block")), found], ["class_id", "root", "copies", "sig", "blocks", "block", "grams"])
 
-    texts = named.join(active, named.doc_id == active.class_id).select("class_id", "root", "copies", "sig", "blocks", "block", "text")
+    # Their ids alone, if not too many, keep other texts out of the shuffle.
+    own = named.join(shared.small(active.select(F.col("class_id").alias("_id"))), F.col("doc_id") == F.col("_id"), "left_semi")
+    texts = own.join(active, own.doc_id == active.class_id).select("class_id", "root", "copies", "sig", "blocks", "block", "text")
     sets = texts.mapInArrow(grams, "class_id bigint, root bigint, copies bigint, sig binary, blocks int, block int, grams binary").where("grams is not null")
     met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class_id", "copies", "sig", "grams")
     found = shared.written(met.repartition(partitions, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "class_id").mapInArrow(_compare(need, threshold), "class_id bigint, links bigint, other bigint"), "links")
