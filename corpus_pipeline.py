@@ -26,6 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one of the least doc_id, of each group connected by similarities of 0.8 or more."""
+    shared.small_batches(spark)
     named = docs.select(*COLUMNS)
     found = jaccard.join(named)
     again = shared.written(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct(), "duplicates")
@@ -37,6 +38,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by the names of its kinds."""
+    shared.small_batches(spark)
     found = pii.find_spans(docs, keep=("doc_id", "lang", "source", "n_chars"), redacted=True)
     changed = F.size("spans") > 0
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.when(changed, F.length("redacted").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
@@ -45,6 +47,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and cuts documents so that sources meet their targets: a row for each whole time that a document is taken
     and one for the rest, its first words. Documents that aren't taken go."""
+    shared.small_batches(spark)
     named = docs.select(*COLUMNS)
     rows = mixing.realise(named, mixing.mix(named))
     return rows.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
@@ -52,6 +55,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences of 2048."""
+    shared.small_batches(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
 

@@ -20,7 +20,17 @@ HOT_SHARE = 1 / 2000
 _written: dict[str, SparkSession] = {}
 
 
+#: Rows in an Arrow batch between Spark and Python. Texts are long, and a batch is held on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a batch of texts takes in a task; to be called before a query's plan is made."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
