@@ -33,7 +33,7 @@ CACHE = 600_000
 #: Pieces of white space-separated words whose tokens don't depend on what follows: letters up to white space, an end
 #: or plain punctuation; such punctuation up to white space; any other rest of a word whole.
 #: The letters are those that stay letters when normalised and put in lower case (not so the capital I with a dot).
-_UNIT = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-žΑ-ΡΣ-Ϋά-ώА-яёЁ]+(?![^\s.,!*$%&#;:?])|[.,!*$%&#;:?]+(?![^\s])|[^\x20\x09-\x0D]+")
+_UNIT = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-žΑ-ΡΣ-Ϋά-ώА-яёЁ]+(?![^\x20\x09-\x0D.,!*$%&#;:?])|[.,!*$%&#;:?]+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]+")
 
 
 class Encoder:
