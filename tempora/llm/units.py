@@ -1,12 +1,17 @@
-"""Substring dedup by hashing lines or paragraphs.
+"""Substring dedup by hashing lines, paragraphs or runs of clauses.
 
-A text is cut into units: lines, or paragraphs (runs of lines between empty ones). A unit of at least ``min_words``
+A text is cut into units: lines, paragraphs (runs of lines between empty ones), or runs: from each clause (which ends at
+a mark followed by white space, or at a line break) as many whole clauses as have RUN_WORDS words. Runs overlap and
+cross line breaks, so a passage that starts or ends inside a line is found but for the words around its ends. A unit of at least ``min_words``
 words is normalised (lower case, runs of white space as one blank, ends trimmed) and digested. Of all units of one
 digest the earliest by (doc_id, place) stays and the others go; their code point offsets in the original text are kept.
 
 Counts and earliest places are added up before the shuffle; only units whose digest comes more than once are joined
 back, hot digests over salted partitions. A document gathers the numbers of its own removed units, no more.
 
+Removed runs are merged to spans. A removed word has an equal run before it, so a copy of it stays in each case, though
+not always all of one run in one place: of a clause that fills a text by itself, the first stays.
+
 Null texts have no units and stay null. Null doc_ids rank last. Rows that repeat a doc_id are told apart by text: those
 of equal text are one occurrence, and fare alike.
 """
@@ -24,11 +29,46 @@ from pyspark.sql import functions as F
 from . import shared
 
 MIN_WORDS = 5
+#: Words in a run of clauses, at least.
+RUN_WORDS = 25
+_CLAUSE = re.compile(r"[,;:.!?](?=[\x20\x09-\x0D])|[\n、。！，：；？]")
 _WHITE = re.compile(r"[\x20\x09-\x0D]+")
 
 
-def spans(text: str, unit: str = "line") -> list[tuple[int, int]]:
-    """(start, end) of each unit, in code points."""
+def runs(text: str, min_words: int = RUN_WORDS) -> list[tuple[int, int, str]]:
+    """(start, end, normalised form) of the shortest run of at least min_words words from each clause, where there is one."""
+    pieces, start = [], 0
+    for end in (*(m.end() for m in _CLAUSE.finditer(text)), len(text)):
+        if form := normalise(text[start:end]):
+            pieces.append((start, end, form, form.count(" ") + 1))
+        start = end
+    out, j, words = [], 0, 0
+    for i, (start, _, _, n) in enumerate(pieces):
+        while j < len(pieces) and words < min_words:
+            words += pieces[j][3]
+            j += 1
+        if words < min_words:
+            break
+        out.append((start, pieces[j - 1][1], " ".join(p[2] for p in pieces[i:j])))
+        words -= n
+    return out
+
+
+def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in found:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def spans(text: str, unit: str = "line", min_words: int = RUN_WORDS) -> list[tuple[int, int]]:
+    """(start, end) of each unit, in code points; min_words is for runs only."""
+    if unit == "run":
+        return [(a, b) for a, b, _ in runs(text, min_words)]
     out, start = [], 0
     for line in text.split("\n"):
         out.append((start, start + len(line)))
@@ -59,8 +99,8 @@ def digests(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) ->
         for batch in batches:
             row, number, digest = [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                for i, (a, b) in enumerate(spans(text or "", unit)):
-                    form = normalise(text[a:b]) if b > a else ""
+                forms = (form for _, _, form in runs(text or "", min_words)) if unit == "run" else (normalise(text[a:b]) if b > a else "" for a, b in spans(text or "", unit))
+                for i, form in enumerate(forms):
                     if form and form.count(" ") + 1 >= min_words:
                         row.append(k)
                         number.append(i)
@@ -90,18 +130,20 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", unit: str
                 part = batch.slice(i, 1000)
                 n, cut, kept = [], [], []
                 for t, gone in zip(part.column("text").to_pylist(), part.column("removed").to_pylist(), strict=True):
-                    every = spans(t or "", unit) if t else []
+                    every = spans(t or "", unit, min_words) if t else []
                     gone = [g for g in gone or [] if g < len(every)]
                     n.append(len(every))
-                    cut.append([{"start": every[g][0], "end": every[g][1]} for g in gone])
+                    own = [every[g] for g in gone]
+                    if unit == "run":
+                        own = merged(own)
+                    cut.append([{"start": a, "end": b} for a, b in own])
                     if not gone:
                         kept.append(t)
                         continue
                     out, free = [], 0
-                    for g in gone:
-                        a, b = every[g]
+                    for a, b in own:
                         out.append(t[free:a])
-                        free = min(b + 1, len(t))  # with its line break
+                        free = b if unit == "run" else min(b + 1, len(t))  # with its line break
                     kept.append("".join([*out, t[free:]]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cut, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())], ["doc_id", "n_units", "removed", "kept_text"])
 

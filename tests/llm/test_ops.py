@@ -139,6 +139,18 @@ def test_units(spark, docs, found):
         assert (r.kept_text or "").count("\n") <= (text or "").count("\n") and (gone or r.kept_text == text)
 
 
+def test_passages_within_lines(spark):
+    passage = "".join(f"Word{k} goes on to say more, and so on. " for k in range(8))
+    texts = ["Alone at first, " + passage + "then ends", "Other lead, " + passage.lower().replace(" on. ", " on.\n") + "other end", passage[3:40] + "short"]
+    rows = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)] + [(9, None, "en", "s")], "doc_id long, text string, lang string, source string")
+    assert all(not r.removed for r in units.dedup(rows).collect())
+    got = {r.doc_id: r for r in units.dedup(rows, unit="run", min_words=units.RUN_WORDS).collect()}
+    assert not got[0].removed and got[0].kept_text == texts[0] and not got[2].removed and got[9].kept_text is None
+    assert len(got[1].removed) == 1
+    a, b = got[1].removed[0]
+    assert a == len("Other lead,") and b >= len(texts[1]) - len("other end") - 2 and got[1].kept_text == texts[1][:a] + texts[1][b:]
+
+
 def test_fingerprint(docs, found):
     got = fingerprint.edit_check(docs).collect()
     order = sorted(((i, t or "") for i, t, *_ in found), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
