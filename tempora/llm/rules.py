@@ -3,7 +3,8 @@
 `measure` counts, for each text, what the rules look at. `sketch` gathers each measure per language and source into a
 quantile sketch: a table of counts by bucket, the buckets exact up to 32 and of 1/16 of a power of two beyond. Two
 sketches merge by adding their counts, so partial sketches combine before the shuffle, in any order, with one result;
-a quantile is off by a sixteenth at most. `thresholds` puts fences at the quartiles, and `judge` joins them back.
+a quantile is off by a sixteenth at most. `thresholds` puts fences beyond the outer tenths by multiples of their distance
+from the median, and `judge` joins them back. Texts that fail the base rules are left out of the sketches.
 
 A group of fewer than MIN_GROUP texts takes the merged sketch of its language, one of a small language that of all.
 Null languages and sources are groups of their own. Null texts count as empty; repeated rows count as often as they
@@ -24,27 +25,29 @@ from .textvec import Words, chunked, per_row, windows
 
 #: Texts in a group for its own fences.
 MIN_GROUP = 50
-#: Measure: (whether low values fail too, spread taken for at least so much, fence in spreads beyond the quartile).
-#: Shares are in thousandths of the words; word_len is in hundredths of a code point.
+#: Measure: (whether low values fail too, spread taken for at least so much, fence in spreads beyond the outer tenth). A
+#: spread is one bucket at least, too. Shares are in thousandths of the words (dup_line_share: of the lines that aren't
+#: empty); word_len is in hundredths of a code point.
 FENCES = {
-    "symbol_share": (False, 20, 4),
-    "bang_share": (False, 20, 6),
-    "upper_share": (False, 40, 6),
-    "dup_line_share": (False, 60, 5),
-    "repeat_share": (False, 40, 5),
-    "echo_share": (False, 20, 6),
-    "word_len": (True, 40, 6),
+    "symbol_share": (False, 5, 4),
+    "bang_share": (False, 2, 6),
+    "upper_share": (False, 2, 6),
+    "dup_line_share": (False, 20, 5),
+    "repeat_share": (False, 1, 5),
+    "echo_share": (False, 1, 6),
+    "word_len": (True, 1, 6),
 }
 _SYMBOL, _CONT, _UPPER = np.zeros(256, np.int64), np.ones(256, np.int64), np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 _CONT[0x80:0xC0] = 0
 _UPPER[list(range(0x41, 0x5B))] = 1
-_WORD = pa.schema([(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bangs", "n_upper_words", "n_echoes")])
+_WORD = pa.schema([(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bangs", "n_upper_words", "n_echoes", "n_lines")])
 
 
-def _dup_lines(text: bytes) -> int:
+def _lines(text: bytes) -> tuple[int, int]:
+    """Lines that repeat an earlier one, and all lines, without empty ones."""
     lines = [x for x in text.split(b"\n") if x.strip(b"\t\n\x0b\x0c\r ")]
-    return len(lines) - len(set(lines))
+    return len(lines) - len(set(lines)), len(lines)
 
 
 def _repeats(hashes: np.ndarray, words: Words, n: int = 5) -> np.ndarray:
@@ -76,8 +79,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             echo = np.zeros(len(hashes), bool)
             echo[1:] = (hashes[1:] == hashes[:-1]) & (words.doc[1:] == words.doc[:-1])
             raw = data.tobytes()
-            dups = np.array([_dup_lines(raw[at[k] : at[k + 1]]) for k in range(j - i)], np.int64)
-            columns = [words.counts, per_row(chars, at), per_row(symbols, at), dups, per_row(_repeats(hashes, words), words.first), per_row(bangs, at), per_row(loud, words.first), per_row(echo, words.first)]
+            lines = np.array([_lines(raw[at[k] : at[k + 1]]) for k in range(j - i)], np.int64).reshape(-1, 2)
+            columns = [words.counts, per_row(chars, at), per_row(symbols, at), lines[:, 0], per_row(_repeats(hashes, words), words.first), per_row(bangs, at), per_row(loud, words.first), per_row(echo, words.first), lines[:, 1]]
             yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), *(pa.array(np.asarray(c, np.int64)) for c in columns)], [*batch.schema.names[:-1], *_WORD.names])
 
 
@@ -90,9 +93,9 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
 
 def _shares(counts: DataFrame) -> DataFrame:
     words = F.greatest(F.col("n_words"), F.lit(1))
-    share = lambda c: F.floor(F.lit(1000) * F.col(c) / words)
+    share = lambda c, of=words: F.floor(F.lit(1000) * F.col(c) / of)
     return counts.withColumns({
-        "symbol_share": share("n_symbols"), "bang_share": share("n_bangs"), "upper_share": share("n_upper_words"), "dup_line_share": share("n_dup_lines"), "repeat_share": share("n_repeat_words"), "echo_share": share("n_echoes"),
+        "symbol_share": share("n_symbols"), "bang_share": share("n_bangs"), "upper_share": share("n_upper_words"), "dup_line_share": share("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))), "repeat_share": share("n_repeat_words"), "echo_share": share("n_echoes"),
         "word_len": F.floor(F.lit(100) * F.col("word_chars") / words),
     })
 
@@ -109,10 +112,12 @@ def least(number: Column) -> Column:
     return F.call_function("shiftleft", (number - shift * 16).cast("bigint"), shift)
 
 
-def sketch(shares: DataFrame, by: tuple[str, ...] = ("lang", "source"), measures: tuple[str, ...] = tuple(FENCES)) -> DataFrame:
-    """Rows (by..., measure, bucket, n). Counts of the same bucket add up: sketches merge by union and sum."""
-    long = shares.select(*by, F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in measures))).alias("x"))
-    return long.groupBy(*by, "x.measure", "x.bucket").agg(F.count("*").alias("n"))
+def sketch(shares: DataFrame, by: tuple[str, ...] = ("lang", "source"), measures: tuple[str, ...] = tuple(FENCES), weight: Column | None = None) -> DataFrame:
+    """Rows (by..., measure, bucket, n). Counts of the same bucket add up: sketches merge by union and sum.
+
+    A row counts ``weight`` times; a group of which no row counts has buckets of 0."""
+    long = shares.select(*by, (F.lit(1) if weight is None else weight).alias("_weight"), F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in measures))).alias("x"))
+    return long.groupBy(*by, "x.measure", "x.bucket").agg(F.sum("_weight").alias("n"))
 
 
 def merge(sketches: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -129,7 +134,7 @@ def quantiles(sketches: DataFrame, by: tuple[str, ...], at: dict[str, float]) ->
 
 def thresholds(sketches: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """For each (lang, source): ``<measure>_low`` and ``<measure>_high``, the range that passes."""
-    at = {"q1": 0.25, "q3": 0.75}
+    at = {"low": 0.1, "mid": 0.5, "high": 0.9}
     own = quantiles(sketches, ("lang", "source"), at)
     lang = quantiles(merge(sketches, ("lang",)), ("lang",), at)
     whole = quantiles(merge(sketches, ()), (), at)
@@ -137,10 +142,10 @@ def thresholds(sketches: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     l, w = up(lang, "l").withColumnRenamed("lang", "_lang"), up(whole, "w").withColumnRenamed("measure", "_measure")  # noqa: E741
     joined = own.join(l.withColumnRenamed("measure", "_m"), (F.col("_m") == own.measure) & F.col("_lang").eqNullSafe(own.lang), "left").join(F.broadcast(w), F.col("_measure") == own.measure, "left")
     pick = lambda k: F.when(F.col("total") >= min_group, F.col(k)).when(F.col("l_total") >= min_group, F.col(f"l_{k}")).otherwise(F.col(f"w_{k}"))
-    q1, q3 = pick("q1"), pick("q3")
-    spread = lambda m: F.greatest(q3 - q1, F.lit(FENCES[m][1])) * FENCES[m][2]
+    low, mid, high = pick("low"), pick("mid"), pick("high")
+    spread = lambda m, far, end: F.greatest(far, least(bucket(end) + 1) - end, F.lit(FENCES[m][1])) * FENCES[m][2]
     return joined.groupBy(own.lang, own.source).agg(
-        *(F.max(F.when(own.measure == m, q3 + spread(m))).alias(f"{m}_high") for m in FENCES), *(F.max(F.when(own.measure == m, q1 - spread(m))).alias(f"{m}_low") for m in FENCES if FENCES[m][0]), F.max("total").alias("n_group")
+        *(F.max(F.when(own.measure == m, high + spread(m, high - mid, high))).alias(f"{m}_high") for m in FENCES), *(F.max(F.when(own.measure == m, low - spread(m, mid - low, low))).alias(f"{m}_low") for m in FENCES if FENCES[m][0]), F.max("total").alias("n_group")
     )
 
 
@@ -149,7 +154,8 @@ def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_group
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col(text).alias("text"))
     counts = shared.written(_shares(measure(named)), "measures")
     total = counts.count()
-    fences = shared.written(thresholds(sketch(counts), min_group), "fences")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    fences = shared.written(thresholds(sketch(counts, weight=F.when(failed, 0).otherwise(1)), min_group), "fences")
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
     fences = fences.select(key("lang").alias("_l"), key("source").alias("_s"), *fences.columns[2:])
     rows = counts.withColumns({"_l": key("lang"), "_s": key("source")})
@@ -157,7 +163,6 @@ def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_group
         joined = rows.join(F.broadcast(fences), ["_l", "_s"], "left")
     else:
         joined = shared.lookup(rows, fences, ["_l", "_s"], "n_group", total, spread=("doc_id", "n_words", "word_chars"))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     reason = F.when(failed, F.lit("base"))
     for m, (low, _, _) in FENCES.items():
         reason = reason.when(F.col(m) > F.col(f"{m}_high"), F.lit(m))

@@ -222,6 +222,18 @@ def test_rules(docs, found):
     assert all(not r.kept for r in got if r.base_failed)
 
 
+def test_fences_follow_groups(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(k, "\n".join(prose(12) for _ in range(6)) + " #" * (k % 3 if k < 100 else 0), "en", "marks" if k < 100 else "plain") for k in range(200)]
+    rows += [(201, prose(100) + " #1 #2 #3 #4 #5 #6", "en", "plain"), (202, prose(100) + " #1 #2 #3 #4 #5 #6", "en", "marks")]
+    got = {r.doc_id: r.reason for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[k] is None for k in range(200)) and got[201] == "symbol_share" and got[202] is None
+    lines = [prose(12) for _ in range(60)]
+    own = spark.createDataFrame([*rows, (203, "\n".join([*lines, *[x[:3] for x in lines for _ in (0, 1)]]), "en", "plain")], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id: r.reason for r in rules.judge(own).collect()}[203] == "dup_line_share"
+
+
 def test_sketches_merge(spark):
     values = [0, 1, 5, 31, 32, 33, 100, 1000, 12345, 10**6]
     df = spark.createDataFrame([(v,) for v in values], "v long")
