@@ -46,7 +46,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and cuts documents so that sources meet their targets: a row for each whole time that a document is taken
-    and one for the rest, its first words. Documents that aren't taken go."""
+    and one for each run of adjacent blocks of it that the mix chose besides. Documents that aren't taken go."""
     shared.small_batches(spark)
     named = docs.select(*COLUMNS)
     rows = mixing.realise(named, mixing.mix(named))

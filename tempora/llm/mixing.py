@@ -4,7 +4,7 @@ The documents of a source are dealt by a seeded hash to shards, and lie in each
 line is cut into blocks of ``block`` words (the last may be shorter). Blocks are apportioned by highest quotients,
 first to sources by their targets, then to the shards of a source by their blocks; no quota exceeds ``repeats`` times
 the blocks there are. A quota takes whole passes over the line and, of the rest, blocks spread evenly from a seeded
-start. How many words of a document that takes is a closed form, so no block is ever a row.
+start. Which words of a document that takes is a closed form by block number, so no block is ever a row.
 
 Null texts have size 0; a null source is a source of its own and comes last. Repeated rows count as often as they
 come. An empty table gives no rows. The driver holds a row for each source and shard: at most SHARDS + sources.
@@ -78,10 +78,23 @@ def sainte_lague(weights: Sequence[float], caps: Sequence[int], seats: int) -> l
     return out
 
 
+def _among(b: Column, blocks: Column, rest: Column, start: Column) -> Column:
+    """Chosen blocks among the first b of a line."""
+    upto = lambda c: F.floor(c * rest / blocks)  # noqa: E731  chosen among the first c, counted from the start
+    return F.when(b + start <= blocks, upto(b + start) - upto(start)).otherwise(rest - upto(start) + upto(b + start - blocks))
+
+
+def _ranges(begin: Column, end: Column, blocks: Column, rest: Column, start: Column, block: Column) -> Column:
+    """For a document on the words begin to end of a line: (start, end) in its own words of each chosen block."""
+    at = F.sequence(F.floor(begin / block), F.floor((end - 1) / block))
+    chosen = F.filter(at, lambda b: _among(b + 1, blocks, rest, start) > _among(b, blocks, rest, start))
+    spans = F.transform(chosen, lambda b: F.struct((F.greatest(b * block, begin) - begin).cast("int").alias("start"), (F.least((b + 1) * block, end) - begin).cast("int").alias("end")))
+    return F.when((end > begin) & (rest > 0), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+
 def _chosen(x: Column, blocks: Column, rest: Column, start: Column, block: Column) -> Column:
     """Words of the chosen blocks in the first x words of a line."""
-    upto = lambda c: F.floor(c * rest / blocks)  # noqa: E731  chosen among the first c, counted from the start
-    among = lambda b: F.when(b + start <= blocks, upto(b + start) - upto(start)).otherwise(rest - upto(start) + upto(b + start - blocks))
+    among = lambda b: _among(b, blocks, rest, start)
     b = F.floor(x / block)
     return among(b) * block + F.when(b < blocks, (among(b + 1) - among(b)) * (x - b * block)).otherwise(F.lit(0))
 
@@ -92,7 +105,8 @@ def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), repeats: int = 3, block: int = 256, seed: int = 17, text: str = "text") -> DataFrame:
-    """doc_id, source, size, source_size, target (of the source), taken (words of the document in the mix)."""
+    """doc_id, source, size, source_size, target (of the source), taken (words of the document in the mix), passes (whole
+    times that it is taken) and ranges (start and end, in its words, of the blocks taken besides)."""
     spark = docs.sparkSession
     sized = shared.written(sizes(docs, text), "sizes")
     found = sorted((tuple(r) for r in sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
@@ -121,15 +135,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), repeats: in
     start = F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.greatest("blocks", F.lit(1)))
     args = (F.greatest("blocks", F.lit(1)), F.col("rest"), start, F.lit(block))
     taken = F.col("passes") * F.col("size") + _chosen(F.col("end"), *args) - _chosen(F.col("end") - F.col("size"), *args)
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"), "passes", _ranges(F.col("end") - F.col("size"), F.col("end"), *args).alias("ranges"))
 
 
 def realise(docs: DataFrame, mixed: DataFrame, keep: Sequence[str] = ("lang", "source")) -> DataFrame:
     """The mix as rows: doc_id, text and the columns ``keep``, a row for each whole time that a document is taken and one
-    with its first words for the rest. Rows of one doc_id and size are taken alike, as the one most taken."""
-    plan = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken")).where("_taken > 0")
+    for each run of adjacent chosen blocks. Rows of one doc_id and size are taken alike, as the one most taken."""
+    most = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max(F.struct("taken", "passes", "ranges")).alias("m"))
+    plan = most.where("m.taken > 0").select("_id", "_size", F.col("m.passes").alias("_passes"), F.col("m.ranges").alias("_ranges"))
     sized = docs.select("doc_id", "text", *keep).withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
-    joined = sized.join(shared.small(shared.written(plan, "mix")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size"))).select("doc_id", "text", *keep, "_n", "_taken")
+    joined = sized.join(shared.small(shared.written(plan, "mix")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size"))).select("doc_id", "text", *keep, "_passes", "_ranges")
     word = re.compile(WORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,13 +152,19 @@ def realise(docs: DataFrame, mixed: DataFrame, keep: Sequence[str] = ("lang", "s
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 row, out = [], []
-                for k, (text, n, taken) in enumerate(zip(*(part.column(c).to_pylist() for c in ("text", "_n", "_taken")), strict=True)):
-                    row += [k] * (taken // n)
-                    out += [text] * (taken // n)
-                    if rest := taken % n:
-                        ends = (m.end() for m in word.finditer(text))
-                        row.append(k)
-                        out.append(text[: next(e for j, e in enumerate(ends, 1) if j == rest)])
+                for k, (text, passes, ranges) in enumerate(zip(*(part.column(c).to_pylist() for c in ("text", "_passes", "_ranges")), strict=True)):
+                    row += [k] * passes
+                    out += [text] * passes
+                    runs: list[list[int]] = []
+                    for r in ranges:
+                        if runs and runs[-1][1] == r["start"]:
+                            runs[-1][1] = r["end"]
+                        else:
+                            runs.append([r["start"], r["end"]])
+                    if runs:
+                        words = [m.span() for m in word.finditer(text)]
+                        row += [k] * len(runs)
+                        out += [text if (a, b) == (0, len(words)) else text[words[a][0] : words[b - 1][1]] for a, b in runs]
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), pa.array(out, pa.string()), *(part.column(c).take(at) for c in keep)], ["doc_id", "text", *keep])
 

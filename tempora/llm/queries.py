@@ -31,7 +31,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(shared.table(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix(shared.table(spark, sf_dir, "documents")).drop("source", "passes", "ranges")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,6 +181,20 @@ def test_mixing(docs, found):
     assert sum(len(WORD.findall(r.text)) for r in made.collect()) == sum(r.taken for r in mixing.mix(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect())
 
 
+def test_realise_gives_chosen_blocks(spark):
+    rows = [(k, " ".join(f"d{k}w{i}" for i in range(2000)), "en", "s0" if k % 2 else "s1") for k in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixed = mixing.mix(frame, block=64)
+    plan, made = {r.doc_id: r for r in mixed.collect()}, defaultdict(list)
+    for r in mixing.realise(frame, mixed).collect():
+        made[r.doc_id] += [int(w.split("w")[1]) for w in r.text.split()]
+    for k, r in plan.items():
+        assert sum(b - a for a, b in r.ranges) + r.passes * r.size == r.taken == len(made[k])
+        assert sorted(made[k]) == sorted([i for a, b in r.ranges for i in range(a, b)] + list(range(2000)) * r.passes)
+    part = [r for r in plan.values() if 0 < sum(b - a for a, b in r.ranges) < r.size]
+    assert part and all(max(b for _, b in r.ranges) > 1800 and sum(b - a for a, b in r.ranges) < 1800 for r in part)
+
+
 def test_packing(docs, found):
     from tokenizers import Tokenizer
 
