@@ -27,6 +27,14 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert len(got) > 0
 
 
+def test_index_scan_is_whole(spark, sf_dir, duck):
+    got = queries.QUERIES["scan_index_all"](spark, sf_dir).toPandas()
+    assert rows(got) == rows(duck.execute(queries.ORACLES["scan_index_all"]).fetchdf())
+    assert set(got.term) == {r.term for r in queries.QUERIES["term_stats"](spark, sf_dir).collect()}
+    few = queries.QUERIES["scan_index"](spark, sf_dir).toPandas()
+    assert 0 < len(few) < len(got) and rows(few) == rows(got[(got.term >= "th") & (got.term < "ti")])
+
+
 def test_entry_lists_all():
     import __spark_entry__ as e
 
