@@ -52,10 +52,13 @@ def analyze(docs: DataFrame, text: str = "text", **options: object) -> DataFrame
 
 
 class Engine:
-    """Searches over one set of tables. Parameters have the defaults of the service that this replaces."""
+    """Searches over one set of tables. Parameters have the defaults of the service that this replaces.
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.frames = spark, frames(spark, sf_dir)
+    sample_rate: the share of documents in the sample that resource selection searches, drawn by a hash of the id.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, sample_rate: float = R.SAMPLE_RATE) -> None:
+        self.spark, self.frames, self.sample_rate = spark, frames(spark, sf_dir), sample_rate
 
     def _run(self, plan: Plan) -> DataFrame:
         return run(self.spark, plan, self.frames)
@@ -82,8 +85,8 @@ class Engine:
         return self.frames["statuses"].where(parse(query).condition())
 
     def _selection(self, p: Plan, terms: tuple, method: str, limit: int, max_col: int, min_ranks: float, normalize: bool, by_topic: bool) -> str:
-        R.search(p, "c", "q", limit, scope=R.SAMPLE, reposts=True, terms=terms)
-        return R.select(p, "sel", R.shard_hits(p, "hits", "c", by_topic, limit), method, normalize, max_col, min_ranks, by_topic)
+        R.search(p, "c", "q", limit, sample=self.sample_rate, reposts=True, terms=terms)
+        return R.select(p, "sel", R.shard_hits(p, "hits", "c", by_topic, limit), method, normalize, max_col, min_ranks, by_topic, self.sample_rate)
 
     def select(self, query: str, method: str = "ranks", limit: int = 50, max_col: int = 3, min_ranks: float = 1e-5, normalize: bool = True, by_topic: bool = True, v: float = 10.0) -> DataFrame:
         """shard, score, r. The method taily needs no search; v is the least score that it returns."""
@@ -184,7 +187,7 @@ class Engine:
             term = term * F.col("mean") / (k + 1)
         drawn = times.groupBy("id").agg(F.sum(parts).alias("k"))
         f = self.frames
-        weighed = F.broadcast(drawn).join(f["postings"], "id").join(f["doclen"].select("id", "dl"), "id").groupBy("term").agg(F.sum(F.col("k") * F.col("tf") / F.col("dl")).alias("f"))
+        weighed = F.broadcast(drawn).join(f["postings"], "id").groupBy("term").agg(F.sum(F.col("k") * F.col("tf") / F.col("dl")).alias("f"))
         idf = F.log((F.col("sum_ctf") + 1) / (F.col("ctf") + 1)) + 1
         best = weighed.join(f["term_stats"], "term").crossJoin(F.broadcast(f["coll"])).select("term", (F.col("f") * idf).alias("w")).orderBy(F.desc("w"), "term").limit(fb_terms)
         return best.crossJoin(F.broadcast(best.agg(F.sum("w").alias("s")))).select("term", (F.col("w") / F.col("s")).alias("w"))

@@ -10,8 +10,8 @@ from .base import Plan, values
 
 QUERY = (("thing", 1.0), ("ention", 1.0), ("ster", 1.0))
 MU = 2500.0
-#: The sample that selection searches (its own collection, with its own statistics).
-SAMPLE = "id % 4 = 0"
+#: Share of the documents in the sample index that selection searches (a collection of its own, with its own statistics).
+SAMPLE_RATE = 0.25
 NO_REPOST = "retweeted_status_id = 0 AND upper(substr(text, 1, 3)) <> 'RT '"
 MOST = 10000
 #: Weights of ranks, as single-precision constants widened: a fixed value each.
@@ -29,21 +29,27 @@ def time_filter(max_id: int | None = None, epochs: tuple[int, int] | None = None
     return "1 = 1"
 
 
+def sampled(id_: str = "id", rate: float = SAMPLE_RATE) -> str:
+    """The sampling operator of the central sample index: documents whose hashed id falls below the rate. It is the same
+    for a document wherever it is asked, so that the sample's sizes and its search agree."""
+    return f"substr(md5(CAST({id_} AS STRING)), 1, 4) < '{min(round(rate * 65536), 65535):04x}'"
+
+
 def query(p: Plan, name: str = "q", terms: tuple = QUERY) -> str:
     p.add(name, values([(t, float(w)) for t, w in terms], "term, w"))
     return name
 
 
-def search(p: Plan, name: str, q: str, limit: int = 1000, where: str = "1 = 1", scope: str = "1 = 1", reposts: bool = False, terms: tuple | None = QUERY, mu: float = MU, keep: int | None = None) -> str:
+def search(p: Plan, name: str, q: str, limit: int = 1000, where: str = "1 = 1", sample: float = 1.0, reposts: bool = False, terms: tuple | None = QUERY, mu: float = MU, keep: int | None = None) -> str:
     """Adds the steps of a search; the result ``name`` has id, screen_name, text, lang, epoch, ..., rsv and j (its rank).
 
-    scope: which documents the collection has. keep: another bound than limit for how many are scored again.
+    sample: the share of documents that the collection has, if not all. keep: another bound than limit for how many are scored again.
     """
     n = f"{mu!r}e0"
     inside = f"AND term IN ({', '.join(repr(t) for t, _ in terms)})" if terms else ""
-    p.add(f"{name}_hit", f"SELECT p.id, p.term, p.tf, p.dl, {q}.w FROM {{postings}} p JOIN {q} ON p.term = {q}.term WHERE {scope.replace('id ', 'p.id ')} {inside.replace('term', 'p.term')}")
-    p.add(f"{name}_len", f"SELECT id, dl FROM {{doclen}} WHERE {scope}")
-    if scope == "1 = 1":
+    p.add(f"{name}_hit", f"SELECT p.id, p.term, p.tf, p.dl, {q}.w FROM {{postings}} p JOIN {q} ON p.term = {q}.term WHERE {sampled('p.id', sample) if sample < 1 else '1 = 1'} {inside.replace('term', 'p.term')}")
+    p.add(f"{name}_len", f"SELECT id, dl FROM {{doclen}}" + (f" WHERE {sampled('id', sample)}" if sample < 1 else ""))
+    if sample >= 1:
         p.add(f"{name}_size", "SELECT CAST(sum_ctf AS DOUBLE) AS c, CAST(num_docs AS DOUBLE) AS n FROM {coll}")
         p.add(f"{name}_df", f"SELECT t.term, t.df, t.ctf FROM {{term_stats}} t JOIN {q} ON t.term = {q}.term{inside.replace('term', 't.term').replace('AND', ' WHERE', 1) if inside else ''}")
     else:
@@ -118,19 +124,19 @@ def shard_hits(p: Plan, name: str, docs: str, by_topic: bool = False, limit: int
     return name
 
 
-def sizes(p: Plan, by_topic: bool = False) -> None:
+def sizes(p: Plan, by_topic: bool = False, rate: float = SAMPLE_RATE) -> None:
     """shard, s (documents) and c (documents of the sample)."""
     shard = "t.topic" if by_topic else "t.source"
-    p.add("sizes", f"SELECT {shard} AS shard, count(*) AS s, sum(CASE WHEN l.{SAMPLE} THEN 1 ELSE 0 END) AS c FROM {{doclen}} l JOIN {{topics}} t ON t.source = lower(l.screen_name) GROUP BY {shard}")
+    p.add("sizes", f"SELECT {shard} AS shard, count(*) AS s, sum(CASE WHEN {sampled('l.id', rate)} THEN 1 ELSE 0 END) AS c FROM {{doclen}} l JOIN {{topics}} t ON t.source = lower(l.screen_name) GROUP BY {shard}")
 
 
-def select(p: Plan, name: str, hits: str, method: str = "ranks", normalize: bool = True, max_col: int = 3, min_ranks: float = 1e-5, by_topic: bool = False) -> str:
-    """shard, score, r (its rank). An unknown method counts votes."""
+def select(p: Plan, name: str, hits: str, method: str = "ranks", normalize: bool = True, max_col: int = 3, min_ranks: float = 1e-5, by_topic: bool = False, rate: float = SAMPLE_RATE) -> str:
+    """shard, score, r (its rank), of hits in a sample of the given rate. An unknown method counts votes."""
     n = f"(SELECT max(j) FROM {hits})"
     exponential = f"{CRCS_ALPHA!r}e0 * exp(-{CRCS_BETA!r}e0 * j)"
     method = method.lower()
     if method == "sizes":
-        sizes(p, by_topic)
+        sizes(p, by_topic, rate)
         p.add(f"{name}_raw", "SELECT shard, CAST(c AS DOUBLE) AS score FROM sizes")
     elif method == "ranks":
         p.add(f"{name}_low", f"SELECT min(rsv) AS low, max(CASE WHEN j = 1 THEN shard END) AS best FROM {hits}")
@@ -144,7 +150,7 @@ def select(p: Plan, name: str, hits: str, method: str = "ranks", normalize: bool
         outer = "ln(1e0 + count(*)) * " if method == "crcslogexp" else ""
         p.add(f"{name}_raw", f"SELECT shard, {outer}CAST(sum({weight}) AS DOUBLE) AS score FROM {hits} WHERE shard IS NOT NULL GROUP BY shard")
     if normalize:
-        sizes(p, by_topic)
+        sizes(p, by_topic, rate)
         scale = "" if method == "ranks" else " / greatest(1, max(z.c) OVER ())"
         p.add(f"{name}_norm", f"SELECT r.shard, r.score * z.c / z.s{scale} AS score FROM {name}_raw r JOIN sizes z ON z.shard = r.shard")
     source = f"{name}_norm" if normalize else f"{name}_raw"

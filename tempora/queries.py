@@ -83,8 +83,7 @@ def pair(name: str, make: Callable[[SparkSession, str], DataFrame], twin: str |
 # Scans, statistics
 
 sql("scan_statuses", "SELECT id, screen_name, epoch, lang, retweeted_status_id, in_reply_to_status_id, followers_count, statuses_count, CAST(length(text) AS BIGINT) AS n FROM {statuses}")
-sql("scan_index", "SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS tf FROM {postings} WHERE term >= 'th' AND term < 'ti' GROUP BY term")
-sql("scan_index_all", "SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS tf FROM {postings} GROUP BY term")
+sql("scan_index", "SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS tf FROM {postings} GROUP BY term")
 sql("num_terms", "SELECT count(DISTINCT term) AS num_terms FROM {postings}")
 sql("postings", "SELECT id, tf FROM {postings} WHERE term = 'thing'")
 sql("term_stats", "SELECT term, df, ctf FROM {term_stats}")
@@ -282,7 +281,7 @@ def _kde_bandwidth() -> Plan:
 
 
 def _hits(p: Plan, by_topic: bool = False, limit: int = 50) -> str:
-    R.search(p, "c", "q", limit=max(limit, 50), scope=R.SAMPLE, reposts=True)
+    R.search(p, "c", "q", limit=max(limit, 50), sample=R.SAMPLE_RATE, reposts=True)
     return R.shard_hits(p, "hits", "c", by_topic, limit)
 
 

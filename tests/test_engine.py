@@ -28,11 +28,25 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 
 def test_index_scan_is_whole(spark, sf_dir, duck):
-    got = queries.QUERIES["scan_index_all"](spark, sf_dir).toPandas()
-    assert rows(got) == rows(duck.execute(queries.ORACLES["scan_index_all"]).fetchdf())
+    got = queries.QUERIES["scan_index"](spark, sf_dir).toPandas()
+    assert rows(got) == rows(duck.execute(queries.ORACLES["scan_index"]).fetchdf())
     assert set(got.term) == {r.term for r in queries.QUERIES["term_stats"](spark, sf_dir).collect()}
-    few = queries.QUERIES["scan_index"](spark, sf_dir).toPandas()
-    assert 0 < len(few) < len(got) and rows(few) == rows(got[(got.term >= "th") & (got.term < "ti")])
+
+
+def test_term_ranges_skip_files(spark, sf_dir):
+    """A range of terms lies in few files of the postings, and its bounds reach the scan."""
+    found = index.of(spark, sf_dir)["postings"].where("term >= 'th' and term < 'ti'")
+    assert {r.term for r in found.select("term").distinct().collect()} == {r.term for r in index.of(spark, sf_dir)["term_stats"].where("term like 'th%'").collect()}
+    assert "GreaterThanOrEqual(term,th)" in found._jdf.queryExecution().toString() and "LessThan(term,ti)" in found._jdf.queryExecution().toString()
+
+
+def test_sample_is_even(spark, sf_dir):
+    ids = index.of(spark, sf_dir)["statuses"].select("id")
+    n = ids.count()
+    for rate in (0.25, 0.5):
+        assert abs(ids.where(R.sampled("id", rate)).count() / n - rate) < 0.12
+    assert ids.where(R.sampled("id", 0.25)).subtract(ids.where(R.sampled("id", 0.5))).count() == 0
+    assert engine.Engine(spark, sf_dir, sample_rate=0.5).select("thing").count() > 0
 
 
 def test_entry_lists_all():
