@@ -62,21 +62,14 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of five words or more: removed spans as start:end in code points, and a digest of what is left."""
+    """Runs of phrases of 25 words or more: removed spans as start:end in code points, and a digest of what is left."""
     found = units.dedup(shared.table(spark, sf_dir, "documents"))
     joined = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", "n_units", F.size("removed").cast("bigint").alias("n_removed"), joined.alias("removed"), F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of clauses of 25 words or more: as op8_units, with removed runs merged to spans."""
-    found = units.dedup(shared.table(spark, sf_dir, "documents"), unit="run", min_words=units.RUN_WORDS)
-    joined = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select("doc_id", "n_units", F.size("removed").cast("bigint").alias("n_removed"), joined.alias("removed"), F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
-
-
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(shared.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_mixing, op4_pii, op5_quality, op6_packing, op7_rules, op8_units, op8_passages, op9_fingerprint, op10_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_mixing, op4_pii, op5_quality, op6_packing, op7_rules, op8_units, op9_fingerprint, op10_jaccard)}

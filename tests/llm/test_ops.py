@@ -124,31 +124,110 @@ def test_jaccard(docs, found, monkeypatch, block, bucket):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.join(docs).collect()) == _graph(found)
 
 
-def test_units(spark, docs, found):
-    first = {}
-    for i, text, *_ in sorted(set(r[:2] for r in found), key=lambda r: (r[0] is None, r[0] or 0)):
-        for k, (a, b) in enumerate(units.spans(text or "")):
-            form = units.normalise((text or "")[a:b])
-            if len(form.split(" ")) >= 5:
-                first.setdefault(form, (i, k))
-    for r in units.dedup(docs).collect():
-        text = next(t for i, t, *_ in found if i == r.doc_id)
-        lines = units.spans(text or "") if text else []
-        gone = [lines[k] for k in range(len(lines)) if len(units.normalise(text[lines[k][0] : lines[k][1]]).split(" ")) >= 5 and first[units.normalise(text[lines[k][0] : lines[k][1]])] != (r.doc_id, k)]
-        assert [(s["start"], s["end"]) for s in r.removed] == gone and r.n_units == len(lines)
-        assert (r.kept_text or "").count("\n") <= (text or "").count("\n") and (gone or r.kept_text == text)
+def _phrase_runs(text, least=25):
+    """(start, end, words) of the runs of a text, one word at a time."""
+    words = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(text)]
+    ends = [w[-1] in ",;:.!?" or k + 1 == len(words) or "\n" in text[b : words[k + 1][0]] for k, (_, b, w) in enumerate(words)]
+    cuts, begin = list(ends), 0
+    for k, end in enumerate(ends):
+        if end:
+            if k + 1 - begin > 12:
+                for q in range(begin, k):
+                    cuts[q] = len(words[q][2]) <= 3
+            begin = k + 1
+    out = []
+    for k in range(len(words)):
+        if (not k or cuts[k - 1]) and (z := next((z for z in range(k + least - 1, len(words)) if cuts[z]), None)) is not None:
+            out.append((words[k][0], words[z][1], tuple(w for *_, w in words[k : z + 1])))
+    return out
+
+
+def _kept(text, gone):
+    left = "".join(c for k, c in enumerate(text) if not any(a <= k < b for a, b in gone))
+    return re.sub(r"\s+", " ", left)
+
+
+def test_units(docs, found):
+    some = [(i, t) for i, t, *_ in found if i != 603]
+    first, runs = {}, {}
+    for i, text in sorted(some, key=lambda r: (r[0] is None, r[0] or 0)):
+        runs[i] = _phrase_runs(text or "")
+        for _, _, form in runs[i]:
+            first.setdefault(form, i)
+    got = {r.doc_id: r for r in units.dedup(docs.where("doc_id is null or doc_id <> 603")).collect()}
+    removed = 0
+    for i, text in some:
+        seen, gone = set(), []
+        for a, b, form in runs[i]:
+            if form in seen or first[form] != i:
+                gone.append((a, b))
+            seen.add(form)
+        r, text = got[i], text or ""
+        assert r.n_units == len(runs[i]) and [k for s in r.removed for k in range(s.start, s.end) if not text[k].isspace()] == sorted({k for a, b in gone for k in range(a, b) if not text[k].isspace()})
+        assert _kept(text, gone) == re.sub(r"\s+", " ", r.kept_text or "") and (r.removed or r.kept_text == dict(some)[i])
+        removed += len(gone)
+    assert removed > 50 and got[602].kept_text is None and got[601].n_units == 0
+    long = units.dedup(docs.where("doc_id = 603")).first()
+    assert long.n_units == 1 and not long.removed  # words of four letters without marks: one phrase
+
+
+#: Lines of five words or more.
+LINES = r"""
+        WITH u AS (
+            SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS unit, unnest(string_split(coalesce(text, ''), chr(10))) AS line
+            FROM documents
+        ), p AS (
+            SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - length(line) - 1 AS BIGINT) AS start,
+                   lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS form
+            FROM u
+        ), g AS (
+            SELECT *, CASE WHEN form <> '' AND length(form) - length(replace(form, ' ', '')) >= 4
+                           THEN row_number() OVER (PARTITION BY form ORDER BY doc_id, unit) > 1 ELSE false END AS gone
+            FROM p
+        ), d AS (
+            SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, max(unit) AS top,
+                   coalesce(string_agg(start || ':' || (start + length(line)), ',' ORDER BY unit) FILTER (gone), '') AS removed,
+                   coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT gone), '') AS kept,
+                   count(*) FILTER (NOT gone) AS n_kept, max(unit) FILTER (NOT gone) AS last_kept
+            FROM g GROUP BY doc_id
+        )
+        SELECT d.doc_id, CASE WHEN coalesce(x.text, '') = '' THEN 0 ELSE n_units END AS n_units, n_removed, removed,
+               sha256(CASE WHEN n_kept > 0 AND last_kept < top THEN kept || chr(10) ELSE kept END) AS kept_sha256
+        FROM d JOIN documents x USING (doc_id)
+    """
+
+
+def test_lines_equal_sql(spark, sf_dir, duck):
+    from conftest import rows
+    from pyspark.sql import functions as F
+
+    joined = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    got = units.dedup(shared.table(spark, sf_dir, "documents"), unit="line").select("doc_id", F.size("removed").cast("bigint").alias("n_removed"), joined.alias("removed"), F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    assert rows(got.toPandas()) == rows(duck.execute(LINES).fetchdf().drop(columns=["n_units"]))
+    few = spark.createDataFrame([(1, "one two three\nfour five\n\nx"), (2, "a\n\nOne  two three\nfour five \n"), (2, "a\n\nOne  two three\nfour five \n"), (None, None)], "doc_id long, text string")
+    cut = [[(s.start, s.end) for s in r.removed] for r in units.dedup(few, unit="paragraph").orderBy("doc_id").collect()]
+    assert cut == [[], [], [(3, 28)], [(3, 28)]]
 
 
 def test_passages_within_lines(spark):
     passage = "".join(f"Word{k} goes on to say more, and so on. " for k in range(8))
-    texts = ["Alone at first, " + passage + "then ends", "Other lead, " + passage.lower().replace(" on. ", " on.\n") + "other end", passage[3:40] + "short"]
+    plain = " ".join(f"stretch{k} of words{k} to" for k in range(20))
+    texts = ["Alone at first, " + passage + "then ends", "Other lead, " + passage.lower().replace(" on. ", " on.\n") + "other end", passage[3:40] + "short", "here it is " + plain + " end", "here that was " + plain + " and more"]
     rows = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)] + [(9, None, "en", "s")], "doc_id long, text string, lang string, source string")
-    assert all(not r.removed for r in units.dedup(rows).collect())
-    got = {r.doc_id: r for r in units.dedup(rows, unit="run", min_words=units.RUN_WORDS).collect()}
-    assert not got[0].removed and got[0].kept_text == texts[0] and not got[2].removed and got[9].kept_text is None
-    assert len(got[1].removed) == 1
-    a, b = got[1].removed[0]
-    assert a == len("Other lead,") and b >= len(texts[1]) - len("other end") - 2 and got[1].kept_text == texts[1][:a] + texts[1][b:]
+    assert all(not r.removed for r in units.dedup(rows, unit="line").collect())
+    got = {r.doc_id: r for r in units.dedup(rows).collect()}
+    assert not got[0].removed and got[0].kept_text == texts[0] and not got[2].removed and got[9].kept_text is None and not got[3].removed
+    for k, (lead, end) in {1: ("Other lead,", "other end"), 4: ("here that", "and more")}.items():
+        assert len(got[k].removed) == 1
+        a, b = got[k].removed[0]
+        assert len(lead) <= a <= len(lead) + 25 and len(texts[k]) - len(end) - 12 <= b <= len(texts[k]) - len(end) and got[k].kept_text == texts[k][:a] + texts[k][b:]
+
+
+def test_rows_of_one_id_keep_their_own(spark):
+    one, two = (" ".join(f"{x}{k}," for k in range(30)) for x in "ab")
+    rows = spark.createDataFrame([(1, one), (2, two + " " + one), (2, one + " " + two)], "doc_id long, text string")
+    got = sorted((r.kept_text.split()[0][0], len(r.removed)) for r in units.dedup(rows).where("doc_id = 2").collect())
+    assert got == [("b", 1), ("b", 1)]
 
 
 def test_fingerprint(docs, found):

@@ -146,8 +146,9 @@ def test_rules_count():
 
 
 def test_units():
-    assert units.spans("ab\n\ncd") == [(0, 2), (3, 3), (4, 6)] and units.spans("a\nb\n\n\nc", "paragraph") == [(0, 3), (6, 7)]
-    assert units.normalise("  A\t b ") == "a b"
+    assert units._spans("ab\n\ncd", "line") == [(0, 2), (3, 3), (4, 6)] and units._spans("a\nb\n\n\nc", "paragraph") == [(0, 3), (6, 7)]
+    assert units.normalise("  A\t b ") == "a b" and units.fold("AİB。ß") == "aİb\nß"
+    assert units.merged([(0, 3), (2, 5), (6, 8), (10, 11)], "abcde。gh,xz") == [(0, 8), (10, 11)]
 
 
 def test_posterior():
