@@ -1,10 +1,12 @@
 """Quality rules with adaptive thresholds.
 
 `measure` counts, for each text, what the rules look at. `sketch` gathers each measure per language and source into a
-quantile sketch: a table of counts by bucket, the buckets exact up to 32 and of 1/16 of a power of two beyond. Two
+quantile sketch: a table of counts by bucket, the buckets exact up to 128 and of 1/64 of a power of two beyond. Two
 sketches merge by adding their counts, so partial sketches combine before the shuffle, in any order, with one result;
-a quantile is off by a sixteenth at most. `thresholds` puts fences beyond the outer tenths by multiples of their distance
-from the median, and `judge` joins them back. Texts that fail the base rules are left out of the sketches.
+a quantile is off by a 64th at most. `thresholds` takes from each sketch the quantile below which texts count as
+ordinary, and puts the fence beyond it by a multiple of its distance from the median; `judge` joins the fences back.
+Texts that fail the base rules are left out of the sketches. No fence is a fixed number: where a group's ordinary texts
+are all alike, the distance taken is one bucket of the sketch.
 
 A group of fewer than MIN_GROUP texts takes the merged sketch of its language, one of a small language that of all.
 Null languages and sources are groups of their own. Null texts count as empty; repeated rows count as often as they
@@ -25,18 +27,20 @@ from .textvec import Words, chunked, per_row, windows
 
 #: Texts in a group for its own fences.
 MIN_GROUP = 50
-#: Measure: (whether low values fail too, spread taken for at least so much, fence in spreads beyond the outer tenth). A
-#: spread is one bucket at least, too. Shares are in thousandths of the words (dup_line_share: of the lines that aren't
-#: empty); word_len is in hundredths of a code point.
+#: Measure: (whether low values fail too, share of a group's texts that is ordinary, fence in distances beyond those). The
+#: share leaves out more where a group can hold much of what the rule is after. Shares are in thousandths of the words
+#: (dup_line_share: of the lines that aren't empty); word_len is in hundredths of a code point.
 FENCES = {
-    "symbol_share": (False, 5, 4),
-    "bang_share": (False, 2, 6),
-    "upper_share": (False, 2, 6),
-    "dup_line_share": (False, 20, 5),
-    "repeat_share": (False, 1, 5),
-    "echo_share": (False, 1, 6),
-    "word_len": (True, 1, 6),
+    "symbol_share": (False, 0.75, 4),
+    "bang_share": (False, 0.9, 6),
+    "upper_share": (False, 0.98, 3),
+    "dup_line_share": (False, 0.98, 1),
+    "repeat_share": (False, 0.95, 3),
+    "echo_share": (False, 0.95, 3),
+    "word_len": (True, 0.9, 4),
 }
+#: Leading bits of a number that its bucket keeps.
+BITS = 7
 _SYMBOL, _CONT, _UPPER = np.zeros(256, np.int64), np.ones(256, np.int64), np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 _CONT[0x80:0xC0] = 0
@@ -101,15 +105,15 @@ def _shares(counts: DataFrame) -> DataFrame:
 
 
 def bucket(value: Column) -> Column:
-    """The bucket of a whole number from 0: itself up to 32, then its five leading bits and their place."""
-    shift = F.greatest(F.length(F.bin(value)) - 5, F.lit(0))
-    return (shift * 16 + F.call_function("shiftright", value, shift)).cast("int")
+    """The bucket of a whole number from 0: itself up to 2 ** BITS, then its BITS leading bits and their place."""
+    shift = F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
+    return (shift * (1 << BITS - 1) + F.call_function("shiftright", value, shift)).cast("int")
 
 
 def least(number: Column) -> Column:
     """The smallest value of a bucket."""
-    shift = F.greatest(F.floor(number / 16) - 1, F.lit(0)).cast("int")
-    return F.call_function("shiftleft", (number - shift * 16).cast("bigint"), shift)
+    shift = F.greatest(F.floor(number / (1 << BITS - 1)) - 1, F.lit(0)).cast("int")
+    return F.call_function("shiftleft", (number - shift * (1 << BITS - 1)).cast("bigint"), shift)
 
 
 def sketch(shares: DataFrame, by: tuple[str, ...] = ("lang", "source"), measures: tuple[str, ...] = tuple(FENCES), weight: Column | None = None) -> DataFrame:
@@ -134,7 +138,9 @@ def quantiles(sketches: DataFrame, by: tuple[str, ...], at: dict[str, float]) ->
 
 def thresholds(sketches: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """For each (lang, source): ``<measure>_low`` and ``<measure>_high``, the range that passes."""
-    at = {"low": 0.1, "mid": 0.5, "high": 0.9}
+    shares = {share for _, share, _ in FENCES.values()}
+    at = {"mid": 0.5} | {f"high{share}": share for share in shares} | {f"low{share}": 1 - share for low, share, _ in FENCES.values() if low}
+    at = {k.replace(".", "_"): v for k, v in at.items()}
     own = quantiles(sketches, ("lang", "source"), at)
     lang = quantiles(merge(sketches, ("lang",)), ("lang",), at)
     whole = quantiles(merge(sketches, ()), (), at)
@@ -142,11 +148,14 @@ def thresholds(sketches: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     l, w = up(lang, "l").withColumnRenamed("lang", "_lang"), up(whole, "w").withColumnRenamed("measure", "_measure")  # noqa: E741
     joined = own.join(l.withColumnRenamed("measure", "_m"), (F.col("_m") == own.measure) & F.col("_lang").eqNullSafe(own.lang), "left").join(F.broadcast(w), F.col("_measure") == own.measure, "left")
     pick = lambda k: F.when(F.col("total") >= min_group, F.col(k)).when(F.col("l_total") >= min_group, F.col(f"l_{k}")).otherwise(F.col(f"w_{k}"))
-    low, mid, high = pick("low"), pick("mid"), pick("high")
-    spread = lambda m, far, end: F.greatest(far, least(bucket(end) + 1) - end, F.lit(FENCES[m][1])) * FENCES[m][2]
-    return joined.groupBy(own.lang, own.source).agg(
-        *(F.max(F.when(own.measure == m, high + spread(m, high - mid, high))).alias(f"{m}_high") for m in FENCES), *(F.max(F.when(own.measure == m, low - spread(m, mid - low, low))).alias(f"{m}_low") for m in FENCES if FENCES[m][0]), F.max("total").alias("n_group")
-    )
+    beyond = lambda end, times: F.greatest(F.abs(end - pick("mid")), least(bucket(end) + 1) - end) * times
+    fences = []
+    for m, (low, share, times) in FENCES.items():
+        high, bottom = (pick(f"{side}{share}".replace(".", "_")) if side == "high" or low else None for side in ("high", "low"))
+        fences.append(F.max(F.when(own.measure == m, high + beyond(high, times))).alias(f"{m}_high"))
+        if low:
+            fences.append(F.max(F.when(own.measure == m, bottom - beyond(bottom, times))).alias(f"{m}_low"))
+    return joined.groupBy(own.lang, own.source).agg(*fences, F.max("total").alias("n_group"))
 
 
 def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_group: int = MIN_GROUP) -> DataFrame:
