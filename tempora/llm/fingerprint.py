@@ -1,7 +1,7 @@
 """Document fingerprints as homomorphic multiset hashes.
 
 A paragraph (a line of a text; line breaks end it) is hashed to a wide vector: LANES random numbers modulo 2**32 from
-the whole paragraph, and BINS signed counts modulo 2**16 that its word triples add to at hashed places. A document's
+the whole paragraph, and BINS signed counts modulo 2**32 that its word triples add to at hashed places. A document's
 fingerprint is the sum of its paragraphs' vectors. So the order of paragraphs doesn't matter, paragraphs can be added
 or taken away without the rest of the text, and equal multisets of paragraphs have equal fingerprints, while unequal
 ones differ but with a probability of about 2**-256. The counts are a sketch of the triples: the cosine of two of them
@@ -28,8 +28,8 @@ _LANE = np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
 
 
 def sums(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of the paragraphs' vectors of each text: (n, LANES) modulo 2**32 and (n, BINS) modulo 2**16."""
-    lanes, bins = np.zeros((len(column), LANES), np.uint32), np.zeros((len(column), BINS), np.uint16)
+    """The sums of the paragraphs' vectors of each text: (n, LANES) and (n, BINS), both modulo 2**32."""
+    lanes, bins = np.zeros((len(column), LANES), np.uint32), np.zeros((len(column), BINS), np.uint32)
     for i, j, data, at in chunked(column):
         if not len(data):
             continue
@@ -61,30 +61,30 @@ def sums(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             key = mix(key)
             place = (words.doc * BINS + (key & np.uint64(BINS - 1)).astype(np.int64))
             sign = np.where(key >> np.uint64(63), 1.0, -1.0)
-            bins[i:j] = np.bincount(place, sign, (j - i) * BINS).astype(np.int64).reshape(j - i, BINS).astype(np.uint16)
+            bins[i:j] = np.bincount(place, sign, (j - i) * BINS).astype(np.int64).reshape(j - i, BINS).astype(np.uint32)
     return lanes, bins
 
 
 def to_text(lanes: np.ndarray, bins: np.ndarray) -> list[str]:
-    raw = np.concatenate([np.ascontiguousarray(lanes, "<u4").view(np.uint8), np.ascontiguousarray(bins, "<u2").view(np.uint8)], axis=1)
+    raw = np.concatenate([np.ascontiguousarray(lanes, "<u4").view(np.uint8), np.ascontiguousarray(bins, "<u4").view(np.uint8)], axis=1)
     return [base64.b64encode(r).decode() for r in raw]
 
 
 def from_text(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(base64.b64decode(p) for p in prints), np.uint8).reshape(len(prints), LANES * 4 + BINS * 2)
-    return np.ascontiguousarray(raw[:, : LANES * 4]).view("<u4"), np.ascontiguousarray(raw[:, LANES * 4 :]).view("<u2")
+    raw = np.frombuffer(b"".join(base64.b64decode(p) for p in prints), np.uint8).reshape(len(prints), LANES * 4 + BINS * 4)
+    return np.ascontiguousarray(raw[:, : LANES * 4]).view("<u4"), np.ascontiguousarray(raw[:, LANES * 4 :]).view("<u4")
 
 
 def combine(prints: list[str], signs: list[int] | None = None) -> str:
     """The fingerprint of a text from those of its parts; sign -1 takes a part away."""
     lanes, bins = from_text(prints)
     s = np.array(signs or [1] * len(prints), np.int64)[:, None]
-    return to_text((lanes * s).sum(0, keepdims=True).astype(np.uint32), (bins * s).sum(0, keepdims=True).astype(np.uint16))[0]
+    return to_text((lanes * s).sum(0, keepdims=True).astype(np.uint32), (bins * s).sum(0, keepdims=True).astype(np.uint32))[0]
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """0 to 1 for each pair of fingerprints: 1 for equal ones, else the cosine of the counts, at least 0."""
-    x, y = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
+    x, y = a[1].view(np.int32).astype(np.float64), b[1].view(np.int32).astype(np.float64)
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cosine = np.where(norm > 0, (x * y).sum(1) / np.maximum(norm, 1e-9), 0.0)
     return np.where((a[0] == b[0]).all(1) & (a[1] == b[1]).all(1), 1.0, np.clip(cosine, 0.0, 1.0))

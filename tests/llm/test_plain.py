@@ -132,6 +132,15 @@ def test_fingerprint_is_a_multiset_hash():
     assert fingerprint.edited("abcdefgh", "XY") == "abcdefXY" and fingerprint.edited("abcdefgh", "") == "abcdef" and fingerprint.edited("abc", "zz") == "abc"
 
 
+def test_fingerprint_of_many_repeats():
+    text = "long word " * 100_000  # each triple over 65,536 times, in one paragraph
+    new = fingerprint.edited(text, "other text " * 100_000)
+    a, b = (tuple(x for x in fingerprint.sums(pa.array([t], pa.large_string()))) for t in (text, new))
+    assert 0.6 < fingerprint.likeness(a, b)[0] < 1 and np.abs(a[1].view(np.int32)).max() > 65_536
+    minus = fingerprint.combine(fingerprint.to_text(*a) + fingerprint.to_text(*b), [1, -1])
+    assert fingerprint.combine([minus, *fingerprint.to_text(*b)]) == fingerprint.to_text(*a)[0]
+
+
 def test_segments():
     for raw in (b"", b"x" * 25, b"WARC/1.1\r\n" * 4, b"\r\n\r\nWARC/1.1"):
         cuts = list(warc.segments(raw, 10))
