@@ -144,7 +144,7 @@ def realise(docs: DataFrame, mixed: DataFrame, keep: Sequence[str] = ("lang", "s
     most = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max(F.struct("taken", "passes", "ranges")).alias("m"))
     plan = most.where("m.taken > 0").select("_id", "_size", F.col("m.passes").alias("_passes"), F.col("m.ranges").alias("_ranges"))
     sized = docs.select("doc_id", "text", *keep).withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
-    joined = sized.join(shared.small(shared.written(plan, "mix")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size"))).select("doc_id", "text", *keep, "_passes", "_ranges")
+    joined = sized.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size"))).select("doc_id", "text", *keep, "_passes", "_ranges")
     word = re.compile(WORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
