@@ -1,8 +1,10 @@
 """A quality classifier with naive Bayes support vectors.
 
 A text's features are hashed indicators of n-grams: words, pairs of words, and one to four shapes of words in a row (a
-shape says how a word is written: capitals, symbols, digits, its last mark, whether it repeats the word before). The
-log-count ratio of each n-gram between the classes comes from counts over all training rows, added up by Spark. A
+shape says how a word is written: capitals, symbols, digits, its last mark, whether it repeats the word before). Word
+pairs have half the bins, single words and shapes a quarter each, so that neither of a long text fills the others'.
+The number of bins grows with the bytes of the training rows, from 2**LEAST_BITS up to 2**most_bits (a documented
+bound: model, counts and what the driver gathers are of that size). The log-count ratio of each n-gram between the classes comes from counts over all training rows, added up by Spark. A
 linear model over the indicators scaled by these ratios is fitted by dual coordinate descent for the hinge loss, on
 at most ``fit_rows`` training rows taken by the hash of doc_id (the documented bound; a class gets half at most while
 the other has more). A logistic curve over the margins of those rows gives scores from 0 to 1.
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from . import shared
 from .textvec import BASE, Words, chunked, mix, prefix_hash, span_hash
 
-BITS = 17
-DIM = 1 << BITS
+#: Bounds of the bits of a bin's number.
+LEAST_BITS, MOST_BITS = 17, 20
 FIT_ROWS = 6000
 _CLASS = np.zeros(256, np.uint8)  # upper 1, lower 2, digit 4, symbol 8, loud mark 16, other mark 32
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58] = 1, 2, 4
@@ -51,8 +53,8 @@ def _shapes(data: np.ndarray, words: Words, hashes: np.ndarray) -> np.ndarray:
     return has | repeat << np.uint64(6) | (kinds[words.starts].astype(np.uint64) == 1).astype(np.uint64) << np.uint64(7) | size << np.uint64(8)
 
 
-def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, n-gram) of all n-grams of a chunk, each once a row, by row."""
+def features(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, n-gram) of all n-grams of a chunk, each once a row, by row. An n-gram is the number of its bin, below 2**bits."""
     words = Words(data, at)
     if not len(words.starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -66,21 +68,24 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 break
             run = run[: len(base) - n + 1] * np.uint64(BASE) + base[n - 1 :]
             inside = words.doc[: len(run)] == words.doc[n - 1 :]
-            keys.append(mix(run[inside] + np.uint64(kind * 16 + n)) & np.uint64(DIM - 1))
+            # Bins of pairs are the odd numbers, those of words and shapes the even ones, by the next bit.
+            space, step = (1, 1) if (kind, n) == (1, 2) else (2 * (kind - 1), 2)
+            place = mix(run[inside] + np.uint64(kind * 16 + n)) & np.uint64((1 << bits - step) - 1)
+            keys.append(place << np.uint64(step) | np.uint64(space))
             docs.append(words.doc[: len(run)][inside])
-    both = np.unique(np.concatenate(docs).astype(np.int64) << BITS | np.concatenate(keys).astype(np.int64))
-    return both >> BITS, both & (DIM - 1)
+    both = np.unique(np.concatenate(docs).astype(np.int64) << bits | np.concatenate(keys).astype(np.int64))
+    return both >> bits, both & ((1 << bits) - 1)
 
 
 @dataclass
 class Model:
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(DIM, np.float32))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << LEAST_BITS, np.float32))
     bias: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
 
     def margins(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        row, gram = features(data, at)
+        row, gram = features(data, at, len(self.weights).bit_length() - 1)
         n = len(at) - 1
         norm = np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
         return np.bincount(row, self.weights[gram], n) / norm + self.bias
@@ -94,16 +99,31 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, DIM), np.int64)
-    for batch in batches:
-        label = batch.column("label").to_numpy()
-        for i, j, data, at in chunked(batch.column("text")):
-            row, gram = features(data, at)
+def _count(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, size = np.zeros((2, 1 << bits), np.int64), ([], []), 0
+
+        def add() -> None:
             for k in (0, 1):
-                counts[k] += np.bincount(gram[label[i:j][row] == k], minlength=DIM)
-    some = np.flatnonzero(counts.any(0))
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[0, some]), pa.array(counts[1, some])], ["gram", "n0", "n1"])
+                if held[k]:
+                    counts[k] += np.bincount(np.concatenate(held[k]), minlength=1 << bits)
+                    held[k].clear()
+
+        for batch in batches:
+            label = batch.column("label").to_numpy()
+            for i, j, data, at in chunked(batch.column("text")):
+                row, gram = features(data, at, bits)
+                for k in (0, 1):
+                    held[k].append(gram[label[i:j][row] == k])
+                size += len(gram)
+                if size > 4 << 20:
+                    add()
+                    size = 0
+        add()
+        some = np.flatnonzero(counts.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[0, some]), pa.array(counts[1, some])], ["gram", "n0", "n1"])
+
+    return run
 
 
 def descend(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -152,13 +172,16 @@ def _logistic(margins: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tu
     return max(a, 1e-3), b
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS, cost: float = 1.0, smoothing: float = 1.0) -> Model:
-    """Fits on labelled rows outside the held-out fold. The driver gets 2 * DIM counts and at most fit_rows rows' n-grams."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS, cost: float = 1.0, smoothing: float = 1.0, most_bits: int = MOST_BITS) -> Model:
+    """Fits on labelled rows outside the held-out fold. The driver gets 2 counts a bin and at most fit_rows rows' n-grams."""
     marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("_id")))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # Labels have no text: while they are few enough they go to the documents, and no text is shuffled.
     rows = texts.join(shared.small(marks, 1_000_000), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
-    counts = rows.select("text", "label").mapInArrow(_count, "gram int, n0 bigint, n1 bigint").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max(size.bit_length(), LEAST_BITS), max(most_bits, LEAST_BITS))
+    dim = 1 << bits
+    counts = rows.select("text", "label").mapInArrow(_count(bits), "gram int, n0 bigint, n1 bigint").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     # The sample is chosen among the labels alone, which have no text.
     classes = dict(marks.groupBy("label").count().collect())
     if len(classes) < 2:
@@ -175,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, at in chunked(batch.column("text")):
-                row, gram = features(data, at)
+                row, gram = features(data, at, bits)
                 edge = np.searchsorted(row, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("label").slice(i, j - i), pa.array([gram[edge[k] : edge[k + 1]].astype("<i4").tobytes() for k in range(j - i)], pa.binary())], ["doc_id", "label", "grams"])
 
@@ -183,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     kind = picked.schema["doc_id"].dataType.simpleString()
     sample = picked.mapInArrow(grams, f"doc_id {kind}, label int, grams binary").toArrow()
     n = counts.toArrow()
-    total = np.full((2, DIM), smoothing)
+    total = np.full((2, dim), smoothing)
     at = n.column("gram").to_numpy()
     total[0, at] += n.column("n0").to_numpy()
     total[1, at] += n.column("n1").to_numpy()
@@ -200,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``score``; one pass without a shuffle. The model has DIM numbers."""
+    """The columns ``keep`` and ``score``; one pass without a shuffle. The model has a number a bin."""
     chosen = docs.select(*keep, F.col(text).alias("_text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -372,6 +372,12 @@ def test_quality(spark, sf_dir):
     assert ((test.score >= 0.3) == (test.quality == 1)).mean() > 0.95
     again = quality.score(docs, quality.train(docs.repartition(7), labels)).toPandas().sort_values("doc_id")
     assert np.allclose(again.score, quality.score(docs, model).toPandas().sort_values("doc_id").score)
+    # Texts of over 500,000 words, nearly as many pairs of them distinct, still tell by what they hold.
+    rng, kinds = random.Random(8), {k: [w for r in docs.join(labels.where(f"quality = {k}"), "doc_id").select("text").collect() for w in WORD.findall(r.text)] for k in (0, 1)}
+    long = [(k, " ".join(w for _ in range(600_000 // len(own) + 1) for w in rng.sample(own, len(own)))) for k, own in kinds.items()]
+    assert all(len(set(zip(t.split(" "), t.split(" ")[1:]))) > 100_000 for _, t in long)
+    assert {r.doc_id: r.score >= 0.3 for r in quality.score(spark.createDataFrame(long, "doc_id long, text string"), model).collect()} == {0: False, 1: True}
+    assert len(model.weights) > 1 << quality.LEAST_BITS and len(quality.train(docs, labels, most_bits=18).weights) == 1 << 18
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "x")], "doc_id long, text string")
     assert all(0 <= r.score <= 1 for r in quality.score(odd, model).collect())
     one = quality.train(docs, labels.where("quality = 1"))
