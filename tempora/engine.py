@@ -116,7 +116,7 @@ class Engine:
         R.interpolate(p, "v", R.query_vector(p), "fv", fb_weight, fb_terms)
         R.search(p, "again", "v", limit, terms=None)
         if rerank_only:
-            p.add("old", "SELECT id, screen_name, text, lang, epoch FROM s")
+            p.add("old", "SELECT id, screen_name, text, lang, epoch FROM s").cut("old")
             p.add("anew_stat", "SELECT * FROM again_stat").add("anew_len", "SELECT * FROM again_len").add("anew_hit", "SELECT * FROM again_hit")
             R.rescore(p, "anew", "old", limit, f"{R.MU!r}e0")
             return self._run(p.then("SELECT * FROM anew"))

@@ -26,8 +26,8 @@ def postings(statuses: DataFrame, analyze: Callable[[Column], Column] = word_tok
 
 
 def doc_lengths(found: DataFrame) -> DataFrame:
-    """id, screen_name, dl (tokens), dt (distinct terms)."""
-    return found.groupBy("id", "screen_name").agg(F.sum("tf").alias("dl"), F.count("*").alias("dt"))
+    """id, screen_name, dl (tokens), dt (distinct terms), mt (the most that a term comes)."""
+    return found.groupBy("id", "screen_name").agg(F.sum("tf").alias("dl"), F.count("*").alias("dt"), F.max("tf").alias("mt"))
 
 
 def term_stats(found: DataFrame) -> DataFrame:
@@ -76,22 +76,25 @@ def _clean() -> None:
 
 
 def build(statuses: DataFrame, path: str, analyze: Callable[[Column], Column] = word_tokens) -> None:
-    """Writes the index (overwriting): postings in ranges of terms and statuses in ranges of time, so that filters on
-    those skip files and row groups."""
+    """Writes the index (overwriting): statuses in ranges of time, and each posting twice, in ranges of terms (postings)
+    and of ids (vectors), so that filters on those skip files and row groups."""
     spark = statuses.sparkSession
     statuses.repartitionByRange("epoch").sortWithinPartitions("epoch").write.mode("overwrite").parquet(f"{path}/statuses")
     kept = spark.read.parquet(f"{path}/statuses")
-    # A posting carries its document's length, so that scoring needs no other table.
-    found = postings(kept, analyze).withColumn("dl", F.sum("tf").over(Window.partitionBy("id")))
-    found.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    # A posting carries its document's length, so that scoring needs no other table. Texts move once, to ranges of ids;
+    # the counts of a document are then made where it lies. Ranges of terms are split by id within a common term.
+    placed = kept.select("id", "screen_name", "text").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    postings(placed, analyze).withColumn("dl", F.sum("tf").over(Window.partitionBy("id"))).sortWithinPartitions("id", "term").write.mode("overwrite").parquet(f"{path}/vectors")
+    found = spark.read.parquet(f"{path}/vectors")
+    found.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    doc_lengths(found).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/doclen")
     found = spark.read.parquet(f"{path}/postings")
-    doc_lengths(found).write.mode("overwrite").parquet(f"{path}/doclen")
     term_stats(found).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
     coll_stats(kept, spark.read.parquet(f"{path}/term_stats")).write.mode("overwrite").parquet(f"{path}/coll")
 
 
 def read(spark: SparkSession, path: str) -> Index:
-    frames = {n: spark.read.parquet(f"{path}/{n}") for n in ("statuses", "postings", "doclen", "term_stats", "coll")}
+    frames = {n: spark.read.parquet(f"{path}/{n}") for n in ("statuses", "postings", "vectors", "doclen", "term_stats", "coll")}
     frames["topics"] = tables.topics(frames["statuses"].select("screen_name"))
     return Index(frames, path)
 

@@ -46,12 +46,14 @@ def search(p: Plan, name: str, q: str, limit: int = 1000, where: str = "1 = 1",
     sample: the share of documents that the collection has, if not all. keep: another bound than limit for how many are scored again.
     """
     n = f"{mu!r}e0"
-    inside = f"AND term IN ({', '.join(repr(t) for t, _ in terms)})" if terms else ""
-    p.add(f"{name}_hit", f"SELECT p.id, p.term, p.tf, p.dl, {q}.w FROM {{postings}} p JOIN {q} ON p.term = {q}.term WHERE {sampled('p.id', sample) if sample < 1 else '1 = 1'} {inside.replace('term', 'p.term')}")
+    if not terms:
+        p.cut(q)
+    inside = f"AND term IN ({', '.join(repr(t) for t, _ in terms)})" if terms else f"AND term IN (SELECT term FROM {q})"
+    p.add(f"{name}_hit", f"SELECT p.id, p.term, p.tf, p.dl, {q}.w FROM {{postings}} p JOIN {q} ON p.term = {q}.term WHERE {sampled('p.id', sample) if sample < 1 else '1 = 1'} {inside.replace('term IN', 'p.term IN')}")
     p.add(f"{name}_len", f"SELECT id, dl FROM {{doclen}}" + (f" WHERE {sampled('id', sample)}" if sample < 1 else ""))
     if sample >= 1:
         p.add(f"{name}_size", "SELECT CAST(sum_ctf AS DOUBLE) AS c, CAST(num_docs AS DOUBLE) AS n FROM {coll}")
-        p.add(f"{name}_df", f"SELECT t.term, t.df, t.ctf FROM {{term_stats}} t JOIN {q} ON t.term = {q}.term{inside.replace('term', 't.term').replace('AND', ' WHERE', 1) if inside else ''}")
+        p.add(f"{name}_df", f"SELECT t.term, t.df, t.ctf FROM {{term_stats}} t JOIN {q} ON t.term = {q}.term{inside.replace('term IN', 't.term IN').replace('AND', ' WHERE', 1)}")
     else:
         p.add(f"{name}_size", f"SELECT CAST(sum(dl) AS DOUBLE) AS c, CAST(count(*) AS DOUBLE) AS n FROM {name}_len")
         p.add(f"{name}_df", f"SELECT term, count(*) AS df, sum(tf) AS ctf FROM {name}_hit GROUP BY term")
@@ -68,16 +70,17 @@ def search(p: Plan, name: str, q: str, limit: int = 1000, where: str = "1 = 1",
     else:
         p.add(f"{name}_top", f"SELECT s.*, f.score FROM {name}_first f JOIN {{statuses}} s ON s.id = f.id WHERE {where.replace('id ', 's.id ')} ORDER BY f.score DESC, s.id DESC LIMIT {most}")
     p.add(f"{name}_one", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC) AS copy FROM {name}_top WHERE {'1 = 1' if reposts else NO_REPOST}) x WHERE copy = 1")
-    p.add(f"{name}_kept", f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id DESC) AS i FROM {name}_one) x WHERE i <= {keep or limit}")
+    p.add(f"{name}_kept", f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id DESC) AS i FROM {name}_one) x WHERE i <= {keep or limit}").cut(f"{name}_stat", f"{name}_kept")
     rescore(p, name, f"{name}_kept", limit, n)
     return name
 
 
 def rescore(p: Plan, name: str, docs: str, limit: int, n: str) -> None:
+    p.add(f"{name}_own", f"SELECT h.id, h.term, h.tf FROM {name}_hit h JOIN {docs} k ON k.id = h.id")  # of all hits those of the few documents
     p.add(
         f"{name}_ql",
         f"""SELECT k.id, round(sum(s.w * ln((coalesce(h.tf, 0) + {n} * s.p) / (l.dl + {n}))), 6) AS rsv
-        FROM {docs} k CROSS JOIN {name}_stat s JOIN {name}_len l ON l.id = k.id LEFT JOIN {name}_hit h ON h.id = k.id AND h.term = s.term GROUP BY k.id""",
+        FROM {docs} k CROSS JOIN {name}_stat s JOIN {name}_len l ON l.id = k.id LEFT JOIN {name}_own h ON h.id = k.id AND h.term = s.term GROUP BY k.id""",
     )
     p.add(name, f"SELECT k.*, y.rsv, row_number() OVER (ORDER BY y.rsv DESC, k.id DESC) AS j FROM {docs} k JOIN {name}_ql y ON y.id = k.id ORDER BY y.rsv DESC, k.id DESC LIMIT {limit}")
 
@@ -93,9 +96,9 @@ def query_vector(p: Plan, name: str = "qv", q: str = "q") -> str:
 def feedback_vector(p: Plan, name: str, docs: str, n_docs: int = 50, n_terms: int = 20, min_len: int = 1, max_len: int = 0) -> str:
     """Weights of the terms of the best documents: frequency times the document's probability, times an idf of the
     collection's counts; the n_terms largest, scaled to a sum of 1. Probabilities are taken relative to the largest."""
-    p.add(f"{name}_docs", f"SELECT id, exp(rsv - max(rsv) OVER ()) AS pr FROM {docs} WHERE j <= {n_docs}")
+    p.add(f"{name}_docs", f"SELECT id, exp(rsv - max(rsv) OVER ()) AS pr FROM {docs} WHERE j <= {n_docs}").cut(f"{name}_docs", f"{name}_tf", name)
     length = f"length(p.term) >= {min_len}" + (f" AND length(p.term) <= {max_len}" if max_len else "")
-    p.add(f"{name}_tf", f"SELECT p.term, sum(p.tf * d.pr / p.dl) AS f FROM {name}_docs d JOIN {{postings}} p ON p.id = d.id WHERE {length} AND p.term <> 'rt' GROUP BY p.term")
+    p.add(f"{name}_tf", f"SELECT p.term, sum(p.tf * d.pr / p.dl) AS f FROM {name}_docs d JOIN {{vectors}} p ON p.id = d.id WHERE p.id IN (SELECT id FROM {name}_docs) AND {length} AND p.term <> 'rt' GROUP BY p.term")
     p.add(f"{name}_w", f"SELECT t.term, round(t.f * (ln((c.sum_ctf + 1e0) / (s.ctf + 1e0)) + 1e0), 12) AS w FROM {name}_tf t JOIN {{term_stats}} s ON s.term = t.term CROSS JOIN {{coll}} c")
     return prune(p, name, f"{name}_w", n_terms)
 
@@ -117,6 +120,7 @@ def interpolate(p: Plan, name: str, a: str, b: str, weight: float = 0.5, k: int
 
 def shard_hits(p: Plan, name: str, docs: str, by_topic: bool = False, limit: int = 50) -> str:
     """id, rsv, rank and shard of the best documents; a document of several topics counts for each."""
+    p.cut(name)
     if by_topic:
         p.add(name, f"SELECT d.id, d.rsv, d.j, t.topic AS shard FROM {docs} d LEFT JOIN {{topics}} t ON t.source = lower(d.screen_name) WHERE d.j <= {limit}")
     else:
@@ -163,6 +167,7 @@ def select(p: Plan, name: str, hits: str, method: str = "ranks", normalize: bool
 def within(p: Plan, name: str, docs: str, selected: str | None, limit: int, by_topic: bool = False) -> str:
     """Search results within selected shards, ranked anew. A document comes once for each of its selected topics. The
     filter follows the search's own limit, so fewer than limit may be left."""
+    p.cut(docs, *([selected] if selected else []), name)
     if selected is None:
         p.add(name, f"SELECT *, row_number() OVER (ORDER BY rsv DESC, id DESC) AS k FROM {docs} WHERE j <= {limit}")
     elif by_topic:

@@ -47,6 +47,7 @@ def bandwidth(p: Plan, name: str, sample: str, factor: float = 1.06) -> str:
 
 def density(p: Plan, name: str, points: str, sample: str, reflect: bool = True, factor: float = 1.06) -> str:
     """The weighted normal-kernel density of each point's x (with id); reflected at the sample's ends if asked for."""
+    p.cut(sample, f"{name}_h", f"{name}_w")
     bandwidth(p, f"{name}_h", sample, factor)
     p.add(f"{name}_w", f"SELECT x, w * count(*) OVER () / sum(w) OVER () AS w FROM {sample}")
     phi = lambda u: f"exp(-0.5e0 * power(({u}) / h.h, 2)) / 2.5066282746310002e0"
@@ -63,6 +64,7 @@ def entity_counts(text: str = "text") -> dict[str, str]:
 
 def features(p: Plan, name: str, docs: str, search: str, shard_sample: str | None, at: int, mu: float = 2500.0, beta: float = 1.0, first: int = 1000, n_shard: str | None = None) -> str:
     """The 21 features of each result. Training weights use the rsv after recency has been added to it."""
+    p.cut(docs, f"{name}_rec", f"{name}_t", name)
     ages(p, f"{name}_age", docs, at)
     recency(p, f"{name}_rec", f"{name}_age")
     weights(p, f"{name}_s4", f"{name}_rec", "score", "recent", first)
@@ -75,7 +77,7 @@ def features(p: Plan, name: str, docs: str, search: str, shard_sample: str | Non
         f"{name}_t",
         f"""SELECT k.id, sum(CASE WHEN h.tf > 0 THEN ln((z.n + 1e0) / (s.df + 1e0)) + 1e0 ELSE 0e0 END) AS idf, count(h.tf) AS coord, max(l.dl) AS dl,
         sum(coalesce({bm25}, 0e0)) AS bm25, sum(ln((coalesce(h.tf, 0) + {n} * s.p) / (l.dl + {n}))) AS ql
-        FROM {docs} k CROSS JOIN {search}_stat s CROSS JOIN {search}_size z JOIN {search}_len l ON l.id = k.id LEFT JOIN {search}_hit h ON h.id = k.id AND h.term = s.term GROUP BY k.id""",
+        FROM {docs} k CROSS JOIN {search}_stat s CROSS JOIN {search}_size z JOIN {search}_len l ON l.id = k.id LEFT JOIN {search}_own h ON h.id = k.id AND h.term = s.term GROUP BY k.id""",
     )
     e = entity_counts("d.text")
     one = lambda x: f"CASE WHEN {x} > 0 THEN 1e0 ELSE 0e0 END"
@@ -103,5 +105,5 @@ def rank(p: Plan, name: str, features: str, limit: int = 1000, model: dict[str,
 
 
 def mean_tf(docs: str, k: int = 3, how: str = "avg") -> str:
-    """Which results' terms come fewer than k times on average (or at most)."""
-    return f"SELECT d.* FROM {docs} d JOIN (SELECT id FROM {{postings}} GROUP BY id HAVING {how}(tf) < {k}) m ON m.id = d.id"
+    """Which results' terms come fewer than k times on average (or at most), by what the index knows of each length."""
+    return f"SELECT d.* FROM {docs} d JOIN {{doclen}} m ON m.id = d.id WHERE m.dl < {k} * m.dt" if how == "avg" else f"SELECT d.* FROM {docs} d JOIN {{doclen}} m ON m.id = d.id WHERE m.mt < {k}"

@@ -29,7 +29,8 @@ DUCK = {
         FROM documents d JOIN events e ON e.event_id = d.doc_id JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) u ON u.user_id = e.user_id""",
     "words": "SELECT id, lower(screen_name) AS screen_name, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM statuses",
     "postings": "SELECT *, CAST(sum(tf) OVER (PARTITION BY id) AS BIGINT) AS dl FROM (SELECT id, screen_name, term, count(*) AS tf FROM words GROUP BY id, screen_name, term) x",
-    "doclen": "SELECT id, screen_name, CAST(sum(tf) AS BIGINT) AS dl, count(*) AS dt FROM postings GROUP BY id, screen_name",
+    "vectors": "SELECT * FROM postings",
+    "doclen": "SELECT id, screen_name, CAST(sum(tf) AS BIGINT) AS dl, count(*) AS dt, max(tf) AS mt FROM postings GROUP BY id, screen_name",
     "term_stats": "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ctf FROM postings GROUP BY term",
     "coll": "SELECT (SELECT count(*) FROM statuses) AS num_docs, count(*) AS num_terms, CAST(sum(df) AS BIGINT) AS sum_df, CAST(sum(ctf) AS BIGINT) AS sum_ctf FROM term_stats",
     "topics": "SELECT DISTINCT 't' || (CAST(substr(lower(screen_name), 4) AS INT) % 5) AS topic, lower(screen_name) AS source FROM statuses",
@@ -37,7 +38,7 @@ DUCK = {
         trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS body, regexp_extract(url, '^[a-z]+://[^/]+/([^/]+)', 1) AS category FROM pages""",
     "samples": samples.SQL,
 }
-_NEEDS = {"words": ("statuses",), "postings": ("words",), "doclen": ("postings",), "term_stats": ("postings",), "coll": ("statuses", "term_stats"), "topics": ("statuses",)}
+_NEEDS = {"words": ("statuses",), "postings": ("words",), "vectors": ("postings",), "doclen": ("postings",), "term_stats": ("postings",), "coll": ("statuses", "term_stats"), "topics": ("statuses",)}
 
 
 def duck(text: str, frames: set[str]) -> str:
@@ -96,10 +97,10 @@ sql("source_union", "SELECT lower(screen_name) AS source FROM {statuses} UNION S
 sql("user_timeline", "SELECT screen_name, count(DISTINCT id) AS n, greatest(1, max(id)) AS latest FROM {statuses} GROUP BY screen_name")
 sql("shard_stats", "SELECT t.topic, t.source, count(*) AS n, max(count(*)) OVER () AS max_size, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM {doclen} l JOIN {topics} t ON t.source = l.screen_name GROUP BY t.topic, t.source")
 sql("shard_rollup", "SELECT t.topic, t.source, count(*) AS n FROM {doclen} l JOIN {topics} t ON t.source = l.screen_name GROUP BY ROLLUP (t.topic, t.source)")
-sql("doc_vectors", "SELECT id, count(*) AS terms, max(tf) AS most, CAST(sum(tf) AS BIGINT) AS n FROM {postings} GROUP BY id")
-sql("vec_norms", "SELECT id, CAST(sum(tf) AS DOUBLE) AS l1, round(sqrt(sum(tf * tf)), 9) AS l2 FROM {postings} GROUP BY id")
-sql("max_tf", "SELECT id FROM {postings} GROUP BY id HAVING max(tf) < 5")
-sql("mean_tf", "SELECT id, round(avg(tf), 9) AS mean FROM {postings} GROUP BY id HAVING avg(tf) < 3")
+sql("doc_vectors", "SELECT id, count(*) AS terms, max(tf) AS most, CAST(sum(tf) AS BIGINT) AS n FROM {vectors} GROUP BY id")
+sql("vec_norms", "SELECT id, CAST(sum(tf) AS DOUBLE) AS l1, round(sqrt(sum(tf * tf)), 9) AS l2 FROM {vectors} GROUP BY id")
+sql("max_tf", "SELECT id FROM {doclen} WHERE mt < 5")
+sql("mean_tf", "SELECT id, round(dl / (dt + 0e0), 9) AS mean FROM {doclen} WHERE dl < 3 * dt")
 
 # Filters
 
