@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,10 +55,16 @@ class Engine:
     """Searches over one set of tables. Parameters have the defaults of the service that this replaces.
 
     sample_rate: the share of documents in the sample that resource selection searches, drawn by a hash of the id.
+    statistics: a file of term statistics of another collection (see tables.term_statistics), which then take the place of
+    the index's own in all scores.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, sample_rate: float = R.SAMPLE_RATE) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, sample_rate: float = R.SAMPLE_RATE, statistics: str | None = None) -> None:
         self.spark, self.frames, self.sample_rate = spark, frames(spark, sf_dir), sample_rate
+        if statistics:
+            terms, totals = tables.term_statistics(spark, statistics)
+            own = terms.agg(F.count("*").alias("num_terms"), F.sum("df").alias("sum_df"))
+            self.frames |= {"term_stats": terms, "coll": totals.crossJoin(own).select("num_docs", "num_terms", "sum_df", "sum_ctf")}
 
     def _run(self, plan: Plan) -> DataFrame:
         return run(self.spark, plan, self.frames)
@@ -80,6 +86,19 @@ class Engine:
         R.search(p, "s", "q", limit, self._where(max_id, epoch, future), reposts=reposts, terms=terms)
         return self._run(p.then("SELECT * FROM s"))
 
+    def trec_search(self, query: str, limit: int = 1000, **k: object) -> DataFrame:
+        """The best documents, 3,000 to 10,000 of them, with the total of hits that term statistics tell."""
+        p, terms = self._plan(query)
+        R.search(p, "s", "q", min(R.MOST, max(3000, limit)), self._where(k.get("max_id"), k.get("epoch"), bool(k.get("future"))), terms=terms)
+        return self._run(p.then("SELECT s.*, (SELECT CAST(CASE WHEN sum(df) > 0 THEN sum(df) ELSE max(n) END AS BIGINT) FROM s_df CROSS JOIN s_size) AS total_hits FROM s"))
+
+    @staticmethod
+    def rerank(found: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """found through a cascade of rerankers; none leaves it as it is."""
+        for step in steps:
+            found = found.transform(step)
+        return found
+
     def filter(self, query: str) -> DataFrame:
         """Statuses that a query with operators admits, unranked."""
         return self.frames["statuses"].where(parse(query).condition())
@@ -105,14 +124,14 @@ class Engine:
         R.shard_cost(p, "cr", "q", "sel", by_topic)
         return self._run(p.then("SELECT sh.*, cr.c_r, (SELECT sum(df) FROM c_df) AS c_sel FROM sh CROSS JOIN cr"))
 
-    def feedback(self, query: str, limit: int = 1000, fb_docs: int = 50, fb_terms: int = 20, fb_weight: float = 0.5, rerank_only: bool = False) -> DataFrame:
+    def feedback(self, query: str, limit: int = 1000, fb_docs: int = 50, fb_terms: int = 20, fb_weight: float = 0.5, rerank_only: bool = False, min_df: int = 0, min_len: int = 1, max_len: int = 0, stop: frozenset[str] = frozenset()) -> DataFrame:
         """A search whose query is mixed with terms of its own best results. Without feedback documents or terms it is
         the plain search. rerank_only scores the first results anew instead of searching again."""
         if not fb_docs or not fb_terms:
             return self.search(query, limit)
         p, terms = self._plan(query)
         R.search(p, "s", "q", limit, terms=terms)
-        R.feedback_vector(p, "fv", "s", fb_docs, fb_terms)
+        R.feedback_vector(p, "fv", "s", fb_docs, fb_terms, min_len, max_len, min_df, stop)
         R.interpolate(p, "v", R.query_vector(p), "fv", fb_weight, fb_terms)
         R.search(p, "again", "v", limit, terms=None)
         if rerank_only:
@@ -122,22 +141,37 @@ class Engine:
             return self._run(p.then("SELECT * FROM anew"))
         return self._run(p.then("SELECT * FROM again"))
 
-    def multi_feedback(self, query: str, limit: int = 1000, method: str = "ranks", fb_docs: int = 50, fb_terms: int = 20, fb_weight: float = 0.5, fb_cols: int = 3, fb_merge: bool = False, by_topic: bool = True, selected: bool = True) -> DataFrame:
-        """Feedback from the results within selected shards (or all); fb_merge mixes in feedback from all results."""
+    def multi_feedback(self, query: str, limit: int = 1000, method: str = "ranks", fb_docs: int = 50, fb_terms: int = 20, fb_weight: float = 0.5, fb_cols: int = 3, fb_merge: bool = False, by_topic: bool = True, selected: bool = True, shard: str | None = None, query_epoch: int | None = None, beta: float = 1.0, model: dict[str, float] | None = None, max_mean_tf: int | None = 3) -> DataFrame:
+        """Feedback from the results within selected shards (or the one named, or all); fb_merge mixes in feedback from all
+        results. With query_epoch the results within shards are ranked by their density over time too; with a model the
+        last results are ranked by it."""
         p, terms = self._plan(query)
-        if selected:
+        if shard:
+            p.add("sel", f"{R.values([(shard.lower(), 1.0, 1)], 'shard, score, r')}")
+        elif selected:
             self._selection(p, terms, method, 50, fb_cols, 1e-5, True, by_topic)
         R.search(p, "s", "q", limit, reposts=True, terms=terms)
-        R.within(p, "sh", "s", "sel" if selected else None, fb_docs, by_topic)
-        p.add("shj", "SELECT id, rsv, row_number() OVER (ORDER BY rsv DESC, id DESC) AS j FROM sh")
+        R.within(p, "sh", "s", "sel" if selected or shard else None, fb_docs, by_topic)
+        at = R.LATEST if query_epoch is None else query_epoch
+        K.weights(p, "shw", K.ages(p, "sha", "sh", at), "score")
+        if query_epoch is None:
+            p.add("shj", "SELECT id, rsv, row_number() OVER (ORDER BY rsv DESC, id DESC) AS j FROM sh")
+        else:
+            K.density(p, "shk", "sha", "shw")
+            p.add("shr", f"SELECT a.id, round(a.rsv + {beta!r}e0 * coalesce(k.f, 0e0), 6) AS rsv FROM sha a LEFT JOIN shk k ON k.id = a.id")
+            p.add("shj", "SELECT id, rsv, row_number() OVER (ORDER BY rsv DESC, id DESC) AS j FROM shr")
+        p.cut("shw", "shj")
         vector = R.feedback_vector(p, "fv", "shj", fb_docs, fb_terms)
         if fb_merge:
             vector = R.interpolate(p, "mv", vector, R.feedback_vector(p, "cv", "s", fb_docs, fb_terms), 0.5, fb_terms)
         R.interpolate(p, "v", R.query_vector(p), vector, fb_weight, fb_terms)
-        R.search(p, "again", "v", limit, terms=None)
-        return self._run(p.then(K.mean_tf("again")))
+        last = R.search(p, "again", "v", limit, terms=None)
+        if model:
+            K.features(p, "f", "again", "again", "shw", at)
+            last = K.rank(p.cut("f_t"), "ltr", "f", limit, model)
+        return self._run(p.then(K.mean_tf(last, max_mean_tf) if max_mean_tf else f"SELECT * FROM {last}"))
 
-    def rmts(self, query: str, query_epoch: int, limit: int = 1000, method: str = "ranks", fb_docs: int = 50, fb_cols: int = 3, num_rerank: int = 1000, model: dict[str, float] | None = None, by_topic: bool = True) -> DataFrame:
+    def rmts(self, query: str, query_epoch: int, limit: int = 1000, method: str = "ranks", fb_docs: int = 50, fb_cols: int = 3, num_rerank: int = 1000, model: dict[str, float] | None = None, by_topic: bool = True, max_mean_tf: int | None = 3) -> DataFrame:
         """Results by a model over 21 features. query_epoch stands for the present."""
         p, terms = self._plan(query)
         self._selection(p, terms, method, 50, fb_cols, 1e-5, True, by_topic)
@@ -147,7 +181,7 @@ class Engine:
         R.search(p, "s", "q", num_rerank, terms=terms)
         K.features(p, "f", "s", "s", "shw", query_epoch)
         K.rank(p, "ltr", "f", limit, model)
-        return self._run(p.then(K.mean_tf("ltr")))
+        return self._run(p.then(K.mean_tf("ltr", max_mean_tf) if max_mean_tf else "SELECT * FROM ltr"))
 
     def taily(self, query: str = "thing ention ster", v: float = 10.0, by_topic: bool = False, n_c: float = 400.0) -> DataFrame:
         """shard, score: how many of the best n_c documents a shard is expected to have, at least v."""

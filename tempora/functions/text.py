@@ -45,6 +45,11 @@ def strip_nonalnum(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\p{L}\p{Nd}]", "")
 
 
+def url_decode(c: Column) -> Column:
+    """A request's text without its escapes; null if they are malformed."""
+    return F.try_url_decode(c)
+
+
 def extract_urls(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(URL), F.lit(0))
 

@@ -52,12 +52,13 @@ class Plan:
 
     def needed(self, last: str, known: set[str]) -> dict[str, str]:
         """The steps that ``last`` is made of, beyond those known."""
-        wanted, open_ = set(), {w for w in re.findall(r"\w+", last) if w in self.steps}
+        read = lambda sql: {w for w in re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql) if w in self.steps}
+        wanted, open_ = set(), read(last)
         while open_:
             name = open_.pop()
             wanted.add(name)
             if name not in known:
-                open_ |= {w for w in re.findall(r"\w+", self.steps[name]) if w in self.steps} - wanted
+                open_ |= read(self.steps[name]) - wanted
         return {n: s for n, s in self.steps.items() if n in wanted}
 
 

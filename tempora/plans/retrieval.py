@@ -14,6 +14,8 @@ MU = 2500.0
 SAMPLE_RATE = 0.25
 NO_REPOST = "retweeted_status_id = 0 AND upper(substr(text, 1, 3)) <> 'RT '"
 MOST = 10000
+#: The time of a query that names none, where one is needed: after all statuses.
+LATEST = 4102444800
 #: Weights of ranks, as single-precision constants widened: a fixed value each.
 CRCS_ALPHA, CRCS_BETA = 1.2000000476837158, 0.2800000011920929
 
@@ -35,6 +37,10 @@ def sampled(id_: str = "id", rate: float = SAMPLE_RATE) -> str:
     return f"substr(md5(CAST({id_} AS STRING)), 1, 4) < '{min(round(rate * 65536), 65535):04x}'"
 
 
+def _quoted(word: str) -> str:
+    return "'" + word.replace("'", "''") + "'"
+
+
 def query(p: Plan, name: str = "q", terms: tuple = QUERY) -> str:
     p.add(name, values([(t, float(w)) for t, w in terms], "term, w"))
     return name
@@ -70,7 +76,7 @@ def search(p: Plan, name: str, q: str, limit: int = 1000, where: str = "1 = 1",
     else:
         p.add(f"{name}_top", f"SELECT s.*, f.score FROM {name}_first f JOIN {{statuses}} s ON s.id = f.id WHERE {where.replace('id ', 's.id ')} ORDER BY f.score DESC, s.id DESC LIMIT {most}")
     p.add(f"{name}_one", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC) AS copy FROM {name}_top WHERE {'1 = 1' if reposts else NO_REPOST}) x WHERE copy = 1")
-    p.add(f"{name}_kept", f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id DESC) AS i FROM {name}_one) x WHERE i <= {keep or limit}").cut(f"{name}_stat", f"{name}_kept")
+    p.add(f"{name}_kept", f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id DESC) AS i FROM {name}_one) x WHERE i <= {keep or limit}").cut(f"{name}_kept", *([f"{name}_stat"] if sample < 1 else []))
     rescore(p, name, f"{name}_kept", limit, n)
     return name
 
@@ -93,13 +99,16 @@ def query_vector(p: Plan, name: str = "qv", q: str = "q") -> str:
     return name
 
 
-def feedback_vector(p: Plan, name: str, docs: str, n_docs: int = 50, n_terms: int = 20, min_len: int = 1, max_len: int = 0) -> str:
+def feedback_vector(p: Plan, name: str, docs: str, n_docs: int = 50, n_terms: int = 20, min_len: int = 1, max_len: int = 0, min_df: int = 0, stop: frozenset[str] = frozenset()) -> str:
     """Weights of the terms of the best documents: frequency times the document's probability, times an idf of the
-    collection's counts; the n_terms largest, scaled to a sum of 1. Probabilities are taken relative to the largest."""
-    p.add(f"{name}_docs", f"SELECT id, exp(rsv - max(rsv) OVER ()) AS pr FROM {docs} WHERE j <= {n_docs}").cut(f"{name}_docs", f"{name}_tf", name)
-    length = f"length(p.term) >= {min_len}" + (f" AND length(p.term) <= {max_len}" if max_len else "")
+    collection's counts; the n_terms largest, scaled to a sum of 1. Probabilities are taken relative to the largest.
+    Noise isn't taken: repost marks, mentions, terms with a slash or beyond ASCII (but for hashtags), stop words, terms of
+    a length out of bounds or in fewer than min_df documents."""
+    p.add(f"{name}_docs", f"SELECT id, exp(rsv - max(rsv) OVER ()) AS pr FROM {docs} WHERE j <= {n_docs}").cut(f"{name}_docs")
+    length = f"length(p.term) >= {min_len}" + (f" AND length(p.term) <= {max_len}" if max_len else "") + (f" AND p.term NOT IN ({', '.join(map(_quoted, sorted(stop)))})" if stop else "")
+    length += " AND (substr(p.term, 1, 1) = '#' OR (substr(p.term, 1, 1) <> '@' AND p.term NOT LIKE '%/%' AND bit_length(p.term) = 8 * length(p.term)))"
     p.add(f"{name}_tf", f"SELECT p.term, sum(p.tf * d.pr / p.dl) AS f FROM {name}_docs d JOIN {{vectors}} p ON p.id = d.id WHERE p.id IN (SELECT id FROM {name}_docs) AND {length} AND p.term <> 'rt' GROUP BY p.term")
-    p.add(f"{name}_w", f"SELECT t.term, round(t.f * (ln((c.sum_ctf + 1e0) / (s.ctf + 1e0)) + 1e0), 12) AS w FROM {name}_tf t JOIN {{term_stats}} s ON s.term = t.term CROSS JOIN {{coll}} c")
+    p.add(f"{name}_w", f"SELECT t.term, round(t.f * (ln((c.sum_ctf + 1e0) / (s.ctf + 1e0)) + 1e0), 12) AS w FROM {name}_tf t JOIN {{term_stats}} s ON s.term = t.term CROSS JOIN {{coll}} c" + (f" WHERE s.df >= {min_df}" if min_df > 0 else ""))
     return prune(p, name, f"{name}_w", n_terms)
 
 
@@ -120,7 +129,6 @@ def interpolate(p: Plan, name: str, a: str, b: str, weight: float = 0.5, k: int
 
 def shard_hits(p: Plan, name: str, docs: str, by_topic: bool = False, limit: int = 50) -> str:
     """id, rsv, rank and shard of the best documents; a document of several topics counts for each."""
-    p.cut(name)
     if by_topic:
         p.add(name, f"SELECT d.id, d.rsv, d.j, t.topic AS shard FROM {docs} d LEFT JOIN {{topics}} t ON t.source = lower(d.screen_name) WHERE d.j <= {limit}")
     else:
@@ -167,7 +175,7 @@ def select(p: Plan, name: str, hits: str, method: str = "ranks", normalize: bool
 def within(p: Plan, name: str, docs: str, selected: str | None, limit: int, by_topic: bool = False) -> str:
     """Search results within selected shards, ranked anew. A document comes once for each of its selected topics. The
     filter follows the search's own limit, so fewer than limit may be left."""
-    p.cut(docs, *([selected] if selected else []), name)
+    p.cut(docs, *([selected] if selected else []))
     if selected is None:
         p.add(name, f"SELECT *, row_number() OVER (ORDER BY rsv DESC, id DESC) AS k FROM {docs} WHERE j <= {limit}")
     elif by_topic:

@@ -47,7 +47,6 @@ def bandwidth(p: Plan, name: str, sample: str, factor: float = 1.06) -> str:
 
 def density(p: Plan, name: str, points: str, sample: str, reflect: bool = True, factor: float = 1.06) -> str:
     """The weighted normal-kernel density of each point's x (with id); reflected at the sample's ends if asked for."""
-    p.cut(sample, f"{name}_h", f"{name}_w")
     bandwidth(p, f"{name}_h", sample, factor)
     p.add(f"{name}_w", f"SELECT x, w * count(*) OVER () / sum(w) OVER () AS w FROM {sample}")
     phi = lambda u: f"exp(-0.5e0 * power(({u}) / h.h, 2)) / 2.5066282746310002e0"
@@ -64,7 +63,7 @@ def entity_counts(text: str = "text") -> dict[str, str]:
 
 def features(p: Plan, name: str, docs: str, search: str, shard_sample: str | None, at: int, mu: float = 2500.0, beta: float = 1.0, first: int = 1000, n_shard: str | None = None) -> str:
     """The 21 features of each result. Training weights use the rsv after recency has been added to it."""
-    p.cut(docs, f"{name}_rec", f"{name}_t", name)
+    p.cut(docs)
     ages(p, f"{name}_age", docs, at)
     recency(p, f"{name}_rec", f"{name}_age")
     weights(p, f"{name}_s4", f"{name}_rec", "score", "recent", first)

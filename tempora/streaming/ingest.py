@@ -41,6 +41,11 @@ def into_index(statuses: DataFrame, path: str, checkpoint: str, analyze: Callabl
     return _once(statuses.writeStream.foreachBatch(add), checkpoint)
 
 
+def poll(statuses: DataFrame, out: str, checkpoint: str, every: str = "1 minute") -> StreamingQuery:
+    """Asks for new statuses again and again; the checkpoint knows the last that was seen. Runs until it is stopped."""
+    return statuses.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def broadcast(statuses: DataFrame, send: Callable[[int, DataFrame], None], checkpoint: str, geo_only: bool = False) -> StreamingQuery:
     """Sends each batch as JSON with its number; with geo_only those that have a place, with the id as text too."""
     rows = statuses.where("geo is not null").withColumn("id_str", F.col("id").cast("string")) if geo_only else statuses

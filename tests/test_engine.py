@@ -82,6 +82,46 @@ def test_engine_methods(spark, sf_dir):
         e.search("-thing")
 
 
+def test_engine_options(spark, sf_dir, tmp_path):
+    e = engine.Engine(spark, sf_dir)
+    plain = e.multi_feedback("thing ention", 50, max_mean_tf=None)
+    assert 0 < plain.count() <= 50
+    timed = e.multi_feedback("thing ention", 50, query_epoch=1706572800, model={"f1": 1.0, "f21": 2.0}, max_mean_tf=None)
+    assert [r.r for r in timed.orderBy("r").collect()] == list(range(1, timed.count() + 1))
+    assert e.multi_feedback("thing", 20, shard="t1", fb_merge=True).count() > 0 and e.multi_feedback("thing", 20, selected=False).count() > 0
+    assert e.feedback("thing", 5, min_df=3, min_len=4, max_len=9, stop=frozenset({"thing", "it's"})).count() == 5
+    assert e.rmts("thing", 1706572800, 5, max_mean_tf=None).count() == 5
+    with gzip.open(tmp_path / "stats.gz", "wt") as f:
+        f.write("all\t1000\t50000\nthing\t30\t70\nster\t2\t3\n")
+    other = engine.Engine(spark, sf_dir, statistics=str(tmp_path / "stats.gz"))
+    found = other.trec_search("thing ster").collect()
+    assert {r.total_hits for r in found} == {32} and {r.id for r in found} == {r.id for r in e.search("thing ster", 3000).collect()}
+    assert {r.rsv for r in found} != {r.rsv for r in e.search("thing ster", 3000).collect()}
+    best = e.search("thing", 20)
+    assert engine.Engine.rerank(best).count() == 20 and engine.Engine.rerank(best, lambda d: d.where("j <= 10"), lambda d: d.limit(3)).count() == 3
+
+
+def test_noise_is_no_feedback(spark):
+    p = R.Plan()
+    text = R.feedback_vector(p, "fv", "s") and p.steps["fv_tf"]
+    terms = spark.createDataFrame([(1, t, 1, 5) for t in ("#tág", "@bob", "a/b", "é", "rt", "word")], "id int, term string, tf int, dl int")
+    docs = spark.createDataFrame([(1, 1.0)], "id int, pr double")
+    got = spark.sql("WITH fv_docs AS (SELECT * FROM {docs}) " + text, vectors=terms, docs=docs)
+    assert sorted(r.term for r in got.collect()) == ["#tág", "word"]
+
+
+def test_poll_and_decode(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text(_status(1))
+    q = ingest.poll(tables.flatten(ingest.read_json(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "c"), "1 second")
+    q.processAllAvailable()
+    (tmp_path / "in/b.json").write_text(_status(2))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+    assert [r[0] for r in spark.createDataFrame([("a%20b",), ("%zz",)], "q string").select(T.url_decode(engine.F.col("q"))).collect()] == ["a b", None]
+
+
 def test_boolean(spark):
     docs = spark.createDataFrame([(1, "one two three", "en"), (2, "two three", "de"), (3, "three two", None)], "id int, text string, lang string")
     ids = lambda q: sorted(r.id for r in docs.where(engine.parse(q).condition()).collect())
