@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from .textvec import BASE, Words, chunked, mix, prefix_hash, span_hash
 
 LANES, BINS = 8, 256
@@ -98,7 +99,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(to_text(*sums(batch.columns[-1])), pa.string())], [*keep, "fingerprint"])
 
-    return chosen.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", fingerprint string")
+    return chosen.mapInArrow(shared.tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", fingerprint string")
 
 
 def edited(own: str, following: str) -> str:
@@ -172,6 +173,6 @@ def edit_check(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
                 more = batch.take(pa.array(first))
                 yield more.append_column("part", pa.array((part[first] - 1) % parts)).append_column("ahead", pa.array(np.ones(len(first), bool)))
 
-    rows = named.mapInArrow(dealt, "doc_id bigint, text string, part bigint, ahead boolean")
-    spread = rows.repartition(n, "part").sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "text")
-    return spread.mapInArrow(_compare, _OUT)
+    rows = named.mapInArrow(shared.tidy(dealt), "doc_id bigint, text string, part bigint, ahead boolean")
+    spread = rows.repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "text")
+    return spread.mapInArrow(shared.tidy(_compare), _OUT)

@@ -147,7 +147,7 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
                     key = [[int(mix(s + np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for s in found] for c in (1, 2)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(k, pa.int64()) for k in key), pa.array([len(s) for s in found], pa.int64()), pa.array([signature(s).tobytes() for s in found], pa.binary())], ["doc_id", "k1", "k2", "n", "sig"])
 
-    return docs.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, n bigint, sig binary")
+    return docs.mapInArrow(shared.tidy(run), "doc_id bigint, k1 bigint, k2 bigint, n bigint, sig binary")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,13 +263,13 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
     classes = shared.written(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     total = classes.count()
 
-    bands = classes.where("n > 0").select("class_id", "sig").mapInArrow(_bands, "bucket bigint, class_id bigint")
+    bands = classes.where("n > 0").select("class_id", "sig").mapInArrow(shared.tidy(_bands), "bucket bigint, class_id bigint")
     shared_buckets = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class_id").alias("lead")).where("size > 1")
     hits = shared.written(shared.lookup(bands, shared_buckets, ["bucket"], "size", max(1, total), "inner", spread=("class_id",)).select("bucket", "class_id", "size", "lead"), "candidates")
     signs = classes.select(F.col("class_id").alias("_id"), "sig")
     in_small = hits.where(F.col("size") <= MAX_BUCKET).join(signs, F.col("class_id") == F.col("_id")).select("bucket", "class_id", "sig")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pruned = in_small.repartition(partitions, "bucket").sortWithinPartitions("bucket", "class_id").mapInArrow(_forest_of_buckets(need), "a bigint, b bigint")
+    pruned = in_small.repartition(partitions, "bucket").sortWithinPartitions("bucket", "class_id").mapInArrow(shared.tidy(_forest_of_buckets(need)), "a bigint, b bigint")
     stars = hits.where((F.col("size") > MAX_BUCKET) & (F.col("class_id") != F.col("lead"))).select(F.col("class_id").alias("a"), F.col("lead").alias("b"))
     groups = shared.written(components(pruned.unionAll(stars)), "groups")
 
@@ -288,9 +288,9 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
     # Their ids alone, if not too many, keep other texts out of the shuffle.
     own = named.join(shared.small(active.select(F.col("class_id").alias("_id"))), F.col("doc_id") == F.col("_id"), "left_semi")
     texts = own.join(active, own.doc_id == active.class_id).select("class_id", "root", "copies", "sig", "blocks", "block", "text")
-    sets = texts.mapInArrow(grams, "class_id bigint, root bigint, copies bigint, sig binary, blocks int, block int, grams binary").where("grams is not null")
+    sets = texts.mapInArrow(shared.tidy(grams), "class_id bigint, root bigint, copies bigint, sig binary, blocks int, block int, grams binary").where("grams is not null")
     met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class_id", "copies", "sig", "grams")
-    found = shared.written(met.repartition(partitions, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "class_id").mapInArrow(_compare(need, threshold), "class_id bigint, links bigint, other bigint"), "links")
+    found = shared.written(met.repartition(partitions, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "class_id").mapInArrow(shared.tidy(_compare(need, threshold)), "class_id bigint, links bigint, other bigint"), "links")
 
     counts = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     roots = components(found.where("other is not null").select(F.col("class_id").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("class_id"), "root")

@@ -169,4 +169,4 @@ def realise(docs: DataFrame, mixed: DataFrame, keep: Sequence[str] = ("lang", "s
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), pa.array(out, pa.string()), *(part.column(c).take(at) for c in keep)], ["doc_id", "text", *keep])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "text", *keep))
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(shared.tidy(run), schema)

@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), *more], names)
 
     schema = f"doc_id {chosen.schema[0].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if ids else "")
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(shared.tidy(run), schema)
 
 
 class Plan:
@@ -216,7 +216,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
     ranked = salted.withColumn("_rank", F.row_number().over(order).cast("bigint") - 1)
 
-    return ranked.select(*columns, "_salt", "_rank").mapInArrow(place, schema)
+    return ranked.select(*columns, "_salt", "_rank").mapInArrow(shared.tidy(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("url", "iban", "ssn", "secret")
 KINDS = BASE_KINDS + EXTRA_KINDS
@@ -182,4 +184,4 @@ def find_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 
     names = [*keep, "spans", *(["redacted"] if redacted else [])]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", spans array<struct<kind:string,start:bigint,end:bigint>>" + (", redacted string" if redacted else "")
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(shared.tidy(run), schema)

@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(size.bit_length(), LEAST_BITS), max(most_bits, LEAST_BITS))
     dim = 1 << bits
-    counts = rows.select("text", "label").mapInArrow(_count(bits), "gram int, n0 bigint, n1 bigint").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = rows.select("text", "label").mapInArrow(shared.tidy(_count(bits)), "gram int, n0 bigint, n1 bigint").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     # The sample is chosen among the labels alone, which have no text.
     classes = dict(marks.groupBy("label").count().collect())
     if len(classes) < 2:
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
     picked = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
     kind = picked.schema["doc_id"].dataType.simpleString()
-    sample = picked.mapInArrow(grams, f"doc_id {kind}, label int, grams binary").toArrow()
+    sample = picked.mapInArrow(shared.tidy(grams), f"doc_id {kind}, label int, grams binary").toArrow()
     n = counts.toArrow()
     total = np.full((2, dim), smoothing)
     at = n.column("gram").to_numpy()
@@ -232,4 +232,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
             for i, j, data, at in chunked(batch.columns[-1]):
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), pa.array(sent.value.scores(data, at))], [*keep, "score"])
 
-    return chosen.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", score double")
+    return chosen.mapInArrow(shared.tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", score double")

@@ -92,7 +92,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     """The columns ``keep`` and the counts of each text; one pass without a shuffle."""
     chosen = docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + "".join(f", {k} bigint" for k in _WORD.names)
-    return chosen.mapInArrow(_measure, schema)
+    return chosen.mapInArrow(shared.tidy(_measure), schema)
 
 
 def _shares(counts: DataFrame) -> DataFrame:

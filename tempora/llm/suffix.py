@@ -312,7 +312,7 @@ def covered(named: DataFrame, width: int = WIDTH, max_fragments: int = MAX_FRAGM
     """doc_id, mark, ranges: the repeated windows of each document, as (first, last + 1) by fragment."""
     spark = named.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    places = shared.written(named.where(F.octet_length("text") >= width).mapInArrow(_fragments(width), "doc_id bigint, mark bigint, gram bigint, fragment bigint, first bigint, windows int, phase int"), "fragments")
+    places = shared.written(named.where(F.octet_length("text") >= width).mapInArrow(shared.tidy(_fragments(width)), "doc_id bigint, mark bigint, gram bigint, fragment bigint, first bigint, windows int, phase int"), "fragments")
     keys = ["gram", "fragment"]
     distinct = places.groupBy(*keys).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "mark", "first", "windows", "phase")).alias("at"))
     distinct = shared.written(distinct, "distinct")
@@ -334,10 +334,10 @@ def covered(named: DataFrame, width: int = WIDTH, max_fragments: int = MAX_FRAGM
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], ["gram", "fragment", "copies", "kinds", "phase", "raw"])
 
     texts = named.join(by_text, named.doc_id.eqNullSafe(F.col("_id")) & (named.mark == F.col("_mark"))).select("text", "parts")
-    bytes_ = shared.written(texts.mapInArrow(fetch, "gram bigint, fragment bigint, copies bigint, kinds bigint, phase bigint, raw binary"), "bytes")
+    bytes_ = shared.written(texts.mapInArrow(shared.tidy(fetch), "gram bigint, fragment bigint, copies bigint, kinds bigint, phase bigint, raw binary"), "bytes")
     few = bytes_.where(F.col("kinds") <= max_fragments).repartition(partitions, "gram").sortWithinPartitions(*keys)
-    ordered = few.mapInArrow(_sorted(width), "gram bigint, fragment bigint, ranges array<struct<a:int,b:int>>")
-    single = bytes_.where(F.col("kinds") > max_fragments).dropDuplicates(keys).select(*keys, "copies", "raw").mapInArrow(_windows(width), "gram bigint, fragment bigint, copies bigint, window bigint, a int")
+    ordered = few.mapInArrow(shared.tidy(_sorted(width)), "gram bigint, fragment bigint, ranges array<struct<a:int,b:int>>")
+    single = bytes_.where(F.col("kinds") > max_fragments).dropDuplicates(keys).select(*keys, "copies", "raw").mapInArrow(shared.tidy(_windows(width)), "gram bigint, fragment bigint, copies bigint, window bigint, a int")
     often = single.groupBy("gram", "window").agg(F.sum("copies").alias("times")).where("times > 1")
     dealt = shared.lookup(single, often, ["gram", "window"], "times", total, "inner", spread=("fragment", "a")).groupBy(*keys).agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"))).alias("ranges"))
 
@@ -377,4 +377,4 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
     joined = named.join(ranges, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary")
+    return joined.mapInArrow(shared.tidy(run), "doc_id bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary")

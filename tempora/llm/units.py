@@ -143,7 +143,7 @@ def digests(docs: DataFrame, unit: str = "run", min_words: int = RUN_WORDS) -> D
                 new = ~_again(row, high, low)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + row[new])), pa.array(high[new]), pa.array(low[new].astype(np.int32))], ["doc", "high", "low"])
 
-    return docs.mapInArrow(run, "doc bigint, high bigint, low int")
+    return docs.mapInArrow(shared.tidy(run), "doc bigint, high bigint, low int")
 
 
 def repeated(docs: DataFrame, unit: str = "run", min_words: int = RUN_WORDS) -> DataFrame:
@@ -180,7 +180,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", unit: str
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(count, pa.int64()), pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())], ["doc_id", "n_units", "removed", "kept_text"])
 
     joined = named.join(removed.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc"), "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(run, "doc_id bigint, n_units bigint, removed array<struct<start:bigint,end:bigint>>, kept_text string")
+    return joined.mapInArrow(shared.tidy(run), "doc_id bigint, n_units bigint, removed array<struct<start:bigint,end:bigint>>, kept_text string")
 
 
 def _among(row: np.ndarray, high: np.ndarray, holder: np.ndarray, listed: np.ndarray) -> np.ndarray:

@@ -113,7 +113,7 @@ def write(records: DataFrame, path: str, record_id: str = "record_id", uri: str
                         out, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    chosen.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    chosen.mapInArrow(shared.tidy(run), "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 _COLUMNS = (
