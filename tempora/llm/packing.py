@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
@@ -26,36 +25,104 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
+from .textvec import Words, chunked, mix, prefix_hash, span_hash
 
 CAPACITY, END = 2048, 0
-#: Words in a worker's cache of token ids.
-CACHE = 600_000
-#: Pieces of white space-separated words whose tokens don't depend on what follows: letters up to white space, an end
-#: or plain punctuation; such punctuation up to white space; any other rest of a word whole.
-#: The letters are those that stay letters when normalised and put in lower case (not so the capital I with a dot).
-_UNIT = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-žΑ-ΡΣ-Ϋά-ώА-яёЁ]+(?![^\x20\x09-\x0D.,!*$%&#;:?])|[.,!*$%&#;:?]+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]+")
+#: Words that a worker keeps the ids of.
+CACHE = 3_000_000
+_LATE = 100_000
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_MARKS, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARKS[list(b".,;:!?")] = True
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+
+
+def tokens_of(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, keys) of the parts of a chunk's words whose ids don't depend on what is beside them: words, and up to
+    four marks at a word's end by themselves where they follow a letter or digit. Case doesn't count, but in words that
+    can be marks of the tokenizer's own. Two parts with different ids have one key of 64 bits by chance only."""
+    stop = words.ends.copy()
+    for _ in range(4):
+        stop -= (stop - 1 > words.starts) & _MARKS[data[stop - 1]]
+    last, lead = data[stop - 1], data[np.maximum(stop - 2, 0)]
+    letter = _ALNUM[last] | ((lead == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (stop - 2 >= words.starts))
+    split = (stop < words.ends) & letter
+    starts, ends = words.starts, np.where(split, stop, words.ends)
+    if split.any():
+        place = np.repeat(np.arange(len(starts)), 1 + split)
+        second = np.concatenate([[False], place[1:] == place[:-1]])
+        starts, ends = np.where(second, stop[place], starts[place]), np.where(second, words.ends[place], ends[place])
+    keys = span_hash(prefix_hash(_FOLD[data]), starts, ends)
+    if (bars := np.concatenate([[0], np.cumsum(data == 0x7C)]))[-1]:
+        own = bars[ends] > bars[starts]
+        keys = np.where(own, mix(span_hash(prefix_hash(data), starts, ends) + np.uint64(1)), keys)
+    return starts, ends, keys
 
 
 class Encoder:
-    """Token ids of texts as little-endian bytes, by a tokenizer that drops white space, with a cache by word."""
+    """Token ids of texts, by a tokenizer that drops white space and case and cuts letters, digits and marks apart; each
+    word is encoded once while there is room. Ids lie in one array; a sorted array of keys tells where."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        units = [_UNIT.findall(t) for t in texts]
-        new = list({u for x in units for u in x}.difference(self.known))
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list({u for x in units for u in x})
-        for i in range(0, len(new), 2000):
-            some = new[i : i + 2000]
-            self.known.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in units]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self._clear()
+
+    def _clear(self) -> None:
+        # Sorted keys and the words' numbers, the late ones apart; of each word, where its ids begin.
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
+        self.at, self.ids, self.size = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of words, -1 for new ones."""
+        out = np.full(len(keys), -1)
+        for key, number in self.known:
+            if len(key):
+                k = np.minimum(np.searchsorted(key, keys), len(key) - 1)
+                out = np.where(key[k] == keys, number[k], out)
+        return out
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """keys: sorted and new."""
+        ids, count = [], []
+        for i in range(0, len(words), 2000):
+            for e in self.encode(words[i : i + 2000], add_special_tokens=False):
+                ids += e.ids
+                count.append(len(e.ids))
+        first = int(self.at[-1])
+        if first + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:first], np.zeros(first + 2 * len(ids) + len(self.ids), np.uint32)])
+        self.ids[first : first + len(ids)] = ids
+        numbers = self.size + np.arange(len(keys))
+        self.at = np.concatenate([self.at, first + np.cumsum(count)])
+        self.size += len(keys)
+        add = lambda old, new: tuple(np.insert(o, np.searchsorted(old[0], new[0]), n) for o, n in zip(old, new, strict=True))
+        late = add(self.known[1], (keys, numbers))
+        self.known = [self.known[0], late] if len(late[0]) < _LATE else [add(self.known[0], late), (late[0][:0], late[1][:0])]
+
+    def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, last row + 1, ids, len + 1 places of each text's first id) for runs of rows."""
+        for i, j, data, at in chunked(column):
+            words = Words(data, at)
+            starts, ends, keys = tokens_of(data, words)
+            distinct, one, which = np.unique(keys, return_index=True, return_inverse=True)
+            number = self._find(distinct)
+            if len(new := np.flatnonzero(number < 0)):
+                if self.size + len(new) > CACHE:
+                    self._clear()
+                    new = np.arange(len(distinct))
+                raw = data.tobytes()
+                self._learn(distinct[new], [raw[starts[k] : ends[k]].decode() for k in one[new]])
+                number = self._find(distinct)
+            number = number[which]
+            count = (self.at[number + 1] - self.at[number]) if len(number) else np.zeros(0, np.int64)
+            edge = np.concatenate([[0], np.cumsum(count)])
+            ids = self.ids[np.repeat(self.at[number] - edge[:-1], count) + np.arange(edge[-1])]
+            yield i, j, ids, edge[np.searchsorted(starts, at)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -76,15 +143,14 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i, j, every, edge in encode(batch.column(1)):
                 row, piece, start, length, crc, own = [], [], [], [], [], []
-                for k, raw in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):
-                    raw += mark
+                for k in range(j - i):
+                    raw = every[edge[k] : edge[k + 1]].astype("<u4").tobytes() + mark
                     n = len(raw) // 4
                     for p, s in enumerate(range(0, n, capacity)):
                         cut = raw[4 * s : 4 * (s + capacity)]
-                        row.append(k)
+                        row.append(i + k)
                         piece.append(p)
                         start.append(s)
                         length.append(len(cut) // 4)
@@ -92,7 +158,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
                         if ids:
                             own.append(np.frombuffer(cut, "<u4").astype(np.int32))
                 more = [pa.array(own, pa.list_(pa.int32()))] if ids else []
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), *more], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), *more], names)
 
     schema = f"doc_id {chosen.schema[0].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if ids else "")
     return chosen.mapInArrow(shared.tidy(run), schema)

@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tempora.llm import fingerprint, jaccard, mixing, packing, pii, quality, rules, shared, suffix, units, warc
@@ -296,14 +297,20 @@ def test_packing(docs, found):
     assert len(bins) <= sum(r.length for r in got) / 2048 * 1.02 + 1
 
 
-def test_encoder():
+def test_encoder(monkeypatch):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "CACHE", 20_000)
+    monkeypatch.setattr(packing, "_LATE", 300)
     t, e, rng = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path()), random.Random(5)
-    letters = "eeABaé bZ.,!'<|>endoftext#1²  ́\n:?sß$%ΣİΑ\x1c\x85 -"
-    for _ in range(3000):
-        x = "".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) + rng.choice(["", "", "don't <|endoftext|>! Café. Á"])
-        assert e([x])[0] == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    letters = "eeABaé bZ.,!'<|>endoftext#1²  ́\n:?sß$%ΣİΑ\x1c\x85 -;×÷É9"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) + rng.choice(["", "", "don't <|endoftext|>! Café. Á", " <|ENDOFTEXT|>, <|endoftext|>.", " it's, é. ×, ÷! É?.,: 9. 9.5, ABC...!!?? (x). x)."]) for _ in range(6000)]
+    for i in range(0, len(texts), 500):
+        some = texts[i : i + 500]
+        for first, last, ids, edge in e(pa.array(some)):
+            for k in range(last - first):
+                assert ids[edge[k] : edge[k + 1]].tolist() == t.encode(some[first + k], add_special_tokens=False).ids, some[first + k]
+    assert e.size <= 20_000 and [x[0].tolist() for x in e.known] == [sorted(x[0].tolist()) for x in e.known]
 
 
 def test_rules(docs, found):
