@@ -29,7 +29,7 @@ from .textvec import Words, chunked, mix, prefix_hash, span_hash
 
 CAPACITY, END = 2048, 0
 #: Words that a worker keeps the ids of.
-CACHE = 3_000_000
+CACHE = 1_500_000
 _LATE = 100_000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -253,11 +253,11 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = found.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)).cast("int"))
-    groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "_salt"])  # capacity x partitions rows at most
-    plan = Plan({int(k): int(v) for k, v in groups.groupby("length")["n"].sum().items()}, capacity)
-    base = groups.assign(base=groups.groupby("length")["n"].cumsum() - groups["n"]) if len(groups) else groups.assign(base=[])
+    groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).toArrow()  # capacity x partitions rows at most
     table = np.zeros((capacity + 1, n), np.int64)
-    table[base["length"], base["_salt"]] = base["base"]
+    table[groups.column("length").to_numpy(), groups.column("_salt").to_numpy()] = groups.column("n").to_numpy()
+    plan = Plan({int(k): int(table[k].sum()) for k in np.flatnonzero(table.any(1))}, capacity)
+    table = np.cumsum(table, 1) - table  # the first rank of each salt
     ranks, bins, offsets = {}, {}, {}
     for length, rows in plan.placements.items():
         ranks[length], bins[length], offsets[length] = (np.array(x, np.int64) for x in zip(*rows, strict=True))

@@ -116,7 +116,7 @@ def _count(bits: int):
                 for k in (0, 1):
                     held[k].append(gram[label[i:j][row] == k])
                 size += len(gram)
-                if size > 4 << 20:
+                if size > 1 << 20:
                     add()
                     size = 0
         add()
@@ -136,8 +136,8 @@ def descend(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost:
     y = np.where(labels == 1, 1.0, -1.0)
     share = np.where(labels == 1, len(y) / (2 * max(1, (labels == 1).sum())), len(y) / (2 * max(1, (labels == 0).sum())))
     limit = cost * share
-    values = [ratio[r] / np.sqrt(max(1, len(r))) for r in rows]
-    square = np.array([v @ v + 1.0 for v in values])
+    values = [(ratio[r] / np.sqrt(max(1, len(r)))).astype(np.float32) for r in rows]
+    square = np.array([float(v @ v) + 1.0 for v in values])
     dual = np.zeros(len(y))
     random = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -172,7 +172,14 @@ def _logistic(margins: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tu
     return max(a, 1e-3), b
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS, cost: float = 1.0, smoothing: float = 1.0, most_bits: int = MOST_BITS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, **options: object) -> Model:
+    """``fit``, after which the driver gives back what it held of rows and counts."""
+    model = fit(docs, labels, **options)
+    shared.release()
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS, cost: float = 1.0, smoothing: float = 1.0, most_bits: int = MOST_BITS) -> Model:
     """Fits on labelled rows outside the held-out fold. The driver gets 2 counts a bin and at most fit_rows rows' n-grams."""
     marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("_id")))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

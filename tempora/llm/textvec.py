@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at a time; a longer text is worked on alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: A random number for each byte, and the odd base of the polynomial and its inverse modulo 2**64.
 BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
