@@ -1,4 +1,4 @@
-"""The engine: a method for each way to ask. All results are DataFrames; nothing runs before an action on them."""
+"""The engine: a method for each way to ask. All results are DataFrames; steps of few rows run at once, the rest on an action."""
 
 from __future__ import annotations
 
@@ -190,19 +190,18 @@ class Engine:
         Y.shard_sizes(p, by_topic)
         Y.features(p)
         Y.every(p)
-        rows = self._run(p.then("SELECT f.shard, f.mean, f.var, CAST(f.hits AS DOUBLE) AS hits, a.all_n FROM feats f JOIN alls a ON coalesce(a.shard, '') = coalesce(f.shard, '')"))
+        p.cut("every_shard").add("every_shard", "SELECT f.shard, f.mean, f.var, CAST(f.hits AS DOUBLE) AS hits, a.all_n FROM feats f JOIN alls a ON coalesce(a.shard, '') = coalesce(f.shard, '')")
+        rows = self._run(p.then("SELECT s.*, c.mean AS c_mean, c.var AS c_var, c.all_n AS c_all FROM every_shard s CROSS JOIN (SELECT mean, var, all_n FROM every_shard WHERE shard IS NULL) c WHERE s.shard IS NOT NULL"))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rows = pd.concat(list(batches))
-            corpus = np.flatnonzero(rows["shard"].isna())
-            if not len(corpus):
-                yield pd.DataFrame({"shard": [], "score": []})
-                return
-            found = gamma.taily_scores(rows["mean"].to_numpy(), rows["var"].to_numpy(), rows["hits"].to_numpy(), rows["all_n"].to_numpy(), int(corpus[0]), n_c)
-            yield pd.DataFrame({"shard": rows["shard"], "score": found}).drop(rows.index[corpus], errors="ignore")[lambda d: d["shard"].notna()]
-
-        # A row a shard: their number is that of sources, so one task has them all.
-        return rows.repartition(1).mapInPandas(score, "shard string, score double").where(F.col("score") >= v).orderBy(F.desc("score"), "shard")
+            for rows in batches:
+                if len(rows):
+                    corpus = tuple(float(rows[c].iloc[0]) for c in ("c_mean", "c_var", "c_all"))
+                    yield pd.DataFrame({"shard": rows["shard"], "raw": gamma.taily_raw(*(rows[c].to_numpy() for c in ("mean", "var", "hits", "all_n")), corpus, n_c)})
+
+        raw = rows.mapInPandas(score, "shard string, raw double")
+        scaled = raw.crossJoin(F.broadcast(raw.agg(F.sum("raw").alias("total")))).select("shard", F.when(F.col("total") > 0, F.col("raw") * n_c / F.col("total")).otherwise(F.col("raw")).alias("score"))
+        return scaled.where(F.col("score") >= v).orderBy(F.desc("score"), "shard")
 
     def bootstrap_vector(self, query: str = "thing ention ster", samples: int = 30, fb_docs: int = 50, fb_terms: int = 20, seed: int = 1) -> DataFrame:
         """Feedback terms over bootstrap samples of the best documents, drawn by their probabilities."""

@@ -61,24 +61,20 @@ def upper_inverse(k: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(q >= 1, 0.0, (lo + hi) / 2)
 
 
-def taily_scores(mean: np.ndarray, var: np.ndarray, hits: np.ndarray, every: np.ndarray, corpus: int, n_c: float) -> np.ndarray:
-    """Expected documents of each shard among the best n_c, scaled to that sum; corpus: the row of all shards.
+def taily_raw(mean: np.ndarray, var: np.ndarray, hits: np.ndarray, every: np.ndarray, corpus: tuple[float, float, float], n_c: float) -> np.ndarray:
+    """Expected documents of each shard among the best n_c, before they are scaled to that sum; corpus: mean, variance and
+    number of documents with all terms of all shards together.
 
     Without variance in the corpus, a shard's hits count; without documents that have all terms, or without variance
     in the shard, its mean does.
     """
-    shards = np.arange(len(mean)) != corpus
-    if var[corpus] < 1e-10:
-        raw = hits.astype(float)
-    elif every[corpus] < 1e-10:
-        raw = mean.copy()
-    else:
-        k, theta = mean[corpus] ** 2 / var[corpus], var[corpus] / mean[corpus]
-        cut = float(upper_inverse(np.array([k]), np.array([min(1.0, n_c / every[corpus])]))[0]) * theta
-        flat = var < 1e-10
-        safe = np.where(flat, 1.0, var)
-        m = np.maximum(mean, 1e-12)
-        raw = np.where(flat, mean, every * upper(m * m / safe, cut / (safe / m)))
-    raw = np.where(shards, raw, 0.0)
-    total = raw.sum()
-    return raw * n_c / total if total > 0 else raw
+    of_all, spread, all_n = corpus
+    if spread < 1e-10:
+        return hits.astype(float)
+    if all_n < 1e-10:
+        return mean.astype(float)
+    cut = float(upper_inverse(np.array([of_all**2 / spread]), np.array([min(1.0, n_c / all_n)]))[0]) * spread / of_all
+    flat = var < 1e-10
+    safe = np.where(flat, 1.0, var)
+    m = np.maximum(mean, 1e-12)
+    return np.where(flat, mean, every * upper(m * m / safe, cut / (safe / m)))

@@ -59,9 +59,13 @@ def test_gamma():
     assert np.allclose(gamma.upper(np.array([1.0, 1.0, 2.0]), np.array([0.5, 3.0, 2.0])), [math.exp(-0.5), math.exp(-3), 3 * math.exp(-2)])
     k, q = np.array([0.3, 1, 5, 80.0, 400.0]), np.array([0.9, 0.5, 0.01, 0.2, 0.999])
     assert np.allclose(gamma.upper(k, gamma.upper_inverse(k, q)), q, atol=1e-9)
-    scores = gamma.taily_scores(np.array([3.0, 2.0, 2.5]), np.array([1.0, 0.5, 0.8]), np.array([5, 9, 14]), np.array([4.0, 6.0, 10.0]), 2, 5.0)
-    assert math.isclose(scores.sum(), 5.0) and scores[2] == 0
-    assert gamma.taily_scores(np.array([3.0, 2.0, 2.5]), np.zeros(3), np.array([5, 9, 14]), np.ones(3), 2, 14.0).tolist() == [5, 9, 0]
+    mean, var, hits, every = np.array([3.0, 2.0]), np.array([1.0, 0.5]), np.array([5, 9]), np.array([4.0, 6.0])
+    cut = gamma.upper_inverse(np.array([2.5**2 / 0.8]), np.array([0.5]))[0] * 0.8 / 2.5
+    want = every * gamma.upper(mean**2 / var, cut * mean / var)
+    assert np.allclose(gamma.taily_raw(mean, var, hits, every, (2.5, 0.8, 10.0), 5.0), want) and 0 < want.sum() < 10
+    assert gamma.taily_raw(mean, var, hits, every, (2.5, 0.0, 10.0), 5.0).tolist() == [5, 9]
+    assert gamma.taily_raw(mean, var, hits, every, (2.5, 0.8, 0.0), 5.0).tolist() == [3, 2]
+    assert gamma.taily_raw(mean, np.zeros(2), hits, every, (2.5, 0.8, 10.0), 5.0).tolist() == [3, 2]
 
 
 def test_engine_methods(spark, sf_dir):
