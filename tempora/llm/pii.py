@@ -6,7 +6,10 @@ general pattern; work beyond the pass grows with the number of anchors.
 
 Kinds `email`, `ip`, `card` and `phone` are the base; the anchors at schemes and cues add `url` (an address that
 carries credentials), `iban` (checked by its check digits), `ssn` and `secret` (a long token after a cue).
-Null and empty texts have no spans. Spans are in code points, end exclusive.
+Cues count in any case. Null and empty texts have no spans; very long texts are searched whole, and no number, scheme or
+name is too long for a parser. Spans of several kinds may overlap and are listed by start, then kind, then end. Repeated
+rows give repeated rows, an empty table none; columns beyond the named ones are not looked at, whatever their names.
+Spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AUTHORITY = re.compile(r"[^\s/@:?#\"'<>]+(?::[^\s/@?#\"'<>]*)?@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
+_NO_LETTER = "0123456789+.-"
 _IBAN = re.compile(r"[\s:=#]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})\b")
 _SSN = re.compile(r"(?:\s*(?:number|no\.?|#))?[\s:=#]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])", re.I)
 _SECRET = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_/+-]{16,}={0,2})")
@@ -51,8 +55,7 @@ def _automaton() -> ahocorasick.Automaton:
     found.add_word("+", "plus")
     found.add_word("://", "scheme")
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, (CUES[cue], len(form)))
+        found.add_word(cue, (CUES[cue], len(cue)))
     found.make_automaton()
     return found
 
@@ -96,10 +99,19 @@ def _iban(text: str) -> bool:
 def _urls(text: str, anchors: list[int]) -> Iterator[tuple[int, int]]:
     free = 0
     for end in anchors:
-        mark = end - 2
-        if (s := _SCHEME.search(text, max(free, mark - 20), mark)) and (m := _AUTHORITY.match(text, end + 1)):
+        start = mark = end - 2
+        while start > free and text[start - 1] in _SCHEME:
+            start -= 1
+        while start < mark and text[start] in _NO_LETTER:
+            start += 1
+        if start < mark and (m := _AUTHORITY.match(text, end + 1)):
             free = m.end()
-            yield s.start(), free
+            yield start, free
+
+
+def _folded(text: str) -> str:
+    """text in lower case, code point for code point; one capital alone has a longer lower case."""
+    return text.replace("\u0130", "\u0131").lower()
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
@@ -107,7 +119,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     digits, at, plus, schemes, cues = [], [], [], [], []
-    for end, what in _automaton().iter(text):
+    for end, what in _automaton().iter(_folded(text)):
         if what == "digit":
             digits.append(end)
         elif what == "at":
@@ -122,7 +134,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         return []
     out = [("email", a, b) for a, b in _emails(text, at)]
     for m in _runs(text, digits, _IP):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in m[0].split(".")):
             out.append(("ip", *m.span()))
     for m in _runs(text, digits, _CARD):
         only = m[0].replace(" ", "").replace("-", "")
