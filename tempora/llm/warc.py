@@ -14,7 +14,9 @@ any `WARC/1.1` of a payload, so that no payload has that sequence.
 
 Null payloads are empty. Null record ids and addresses come back null. Control characters in addresses are escaped.
 Records with one id and equal payloads (repeated rows) have the same type. An empty table gives an archive without
-records. ``read_chunks`` raises if a payload doesn't have the digest that its record states.
+records. Addresses and payloads may be of any length. Columns beyond the named ones are not looked at, but for those that
+``with_types`` adds, which it replaces; a file is never cut by a session's setting for rows in a file. ``read_chunks``
+raises if a payload doesn't have the digest that its record states.
 """
 
 from __future__ import annotations
@@ -113,7 +115,7 @@ def write(records: DataFrame, path: str, record_id: str = "record_id", uri: str
                         out, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    chosen.mapInArrow(shared.tidy(run), "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    chosen.mapInArrow(shared.tidy(run), "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 0).text(path)
 
 
 _COLUMNS = (
@@ -141,7 +143,7 @@ def _read(batches: Iterator[pa.RecordBatch], with_data: bool) -> Iterator[pa.Rec
             raw = value.as_buffer()
             view = memoryview(raw)
             start = len(_MARK) + 2 if view[: len(_MARK)] == _MARK else 0
-            end = bytes(view[start : start + (1 << 16)]).index(b"\r\n\r\n") + start
+            end = view.tobytes().index(b"\r\n\r\n", start)
             head = dict(line.split(": ", 1) for line in bytes(view[start:end]).decode().split("\r\n"))
             body = view[end + 4 : end + 4 + int(head["Content-Length"])]
             if len(body) != int(head["Content-Length"]):
