@@ -8,7 +8,8 @@ where; a piece finds its place from its rank among the pieces of its length, cou
 share, then over the groups' totals), so no length, however common, is ranked by one task.
 
 Null and empty texts give one piece that holds the end mark alone. An empty table gives no rows. Repeated rows give as
-many pieces as they come; those get places of their own.
+many pieces as they come; those get places of their own. Very long texts are cut into as many pieces as they need.
+Columns beyond the named ones are not looked at.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .textvec import Words, chunked, mix, prefix_hash, span_hash
+from .textvec import Words, chunked, mix, word_hash
 
 CAPACITY, END = 2048, 0
+#: Groups that the pieces of one length are ranked in, at most; the driver holds CAPACITY x SALTS counts.
+SALTS = 1024
 #: Words that a worker keeps the ids of.
 CACHE = 1_500_000
 _LATE = 100_000
@@ -53,10 +56,10 @@ def tokens_of(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, n
         place = np.repeat(np.arange(len(starts)), 1 + split)
         second = np.concatenate([[False], place[1:] == place[:-1]])
         starts, ends = np.where(second, stop[place], starts[place]), np.where(second, words.ends[place], ends[place])
-    keys = span_hash(prefix_hash(_FOLD[data]), starts, ends)
+    keys = word_hash(_FOLD[data], starts, ends)
     if (bars := np.concatenate([[0], np.cumsum(data == 0x7C)]))[-1]:
         own = bars[ends] > bars[starts]
-        keys = np.where(own, mix(span_hash(prefix_hash(data), starts, ends) + np.uint64(1)), keys)
+        keys = np.where(own, mix(word_hash(data, starts, ends) + np.uint64(1)), keys)
     return starts, ends, keys
 
 
@@ -251,9 +254,9 @@ class Plan:
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``. found: doc_id, piece, length and more columns; read twice."""
     spark = found.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)).cast("int"))
-    groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).toArrow()  # capacity x partitions rows at most
+    groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).toArrow()  # capacity x SALTS rows at most, whatever the partitions
     table = np.zeros((capacity + 1, n), np.int64)
     table[groups.column("length").to_numpy(), groups.column("_salt").to_numpy()] = groups.column("n").to_numpy()
     plan = Plan({int(k): int(table[k].sum()) for k in np.flatnonzero(table.any(1))}, capacity)
