@@ -1,13 +1,14 @@
 """Document fingerprints as homomorphic multiset hashes.
 
-A paragraph (a line of a text; line breaks end it) is hashed to a wide vector: LANES random numbers modulo 2**32 from
-the whole paragraph, and BINS signed counts modulo 2**32 that its word triples add to at hashed places. A document's
+A paragraph (a line of a text; line breaks end it) is hashed to a wide vector: LANES numbers modulo 2**32, which are the
+BLAKE2b digest of the whole paragraph, and BINS signed counts modulo 2**32 that its word triples add to at hashed places. A document's
 fingerprint is the sum of its paragraphs' vectors. So the order of paragraphs doesn't matter, paragraphs can be added
 or taken away without the rest of the text, and equal multisets of paragraphs have equal fingerprints, while unequal
 ones differ but with a probability of about 2**-256. The counts are a sketch of the triples: the cosine of two of them
 estimates the likeness of two texts, with an error of about 1 / sqrt(BINS).
 
-Null and empty texts have no paragraph and the sum 0; two of those are alike (1), one and a text are not (0).
+Null and empty texts have no paragraph and the sum 0; two of those are alike (1), one and a text are not (0). Very long texts are
+taken whole. Columns beyond the named ones are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .textvec import BASE, Words, chunked, mix, prefix_hash, span_hash
+from .textvec import BASE, Words, chunked, digests, mix
 
 LANES, BINS = 8, 256
-_LANE = np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
 
 
 def sums(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -34,14 +34,13 @@ def sums(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for i, j, data, at in chunked(column):
         if not len(data):
             continue
-        prefix = prefix_hash(data)
         breaks = np.flatnonzero(data == 10)
         full = np.flatnonzero(np.diff(at) > 0)
         starts = np.concatenate([at[full], breaks + 1])
         doc = np.concatenate([full, np.searchsorted(at, breaks, "right") - 1])
         stops = np.append(breaks, len(data))
         ends = np.minimum(stops[np.searchsorted(breaks, starts)], at[doc + 1])
-        wide = (mix(span_hash(prefix, starts, ends)[:, None] + _LANE) & np.uint64(0xFFFFFFFF)).astype(np.uint64)
+        wide = digests(data, starts, ends, 4 * LANES).view("<u4").astype(np.uint64)
         order = np.argsort(doc, kind="stable")
         doc_sorted, wide = doc[order], wide[order]
         total = np.zeros((len(wide) + 1, LANES), np.uint64)
@@ -51,7 +50,7 @@ def sums(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
         words = Words(data, at)
         if len(words.starts):
-            h = span_hash(prefix, words.starts, words.ends)
+            h = words.hashes(data)
             para = np.searchsorted(breaks, words.starts) + words.doc  # grows from paragraph to paragraph
             # The triples that end at each word, shorter at a paragraph's beginning.
             one, two = np.roll(h, 1), np.roll(h, 2)

@@ -12,7 +12,8 @@ class has there and a forest of them. Buckets over MAX_BUCKET keep a star of all
 nothing is lost. What a task holds is two blocks of bounded size.
 
 A null or empty text is the empty set; such texts are one class. Null doc_ids are taken as the least number. Rows that
-repeat a doc_id and its text are copies of each other. An empty table gives no rows.
+repeat a doc_id and its text are copies of each other. Very long texts are taken whole. Columns beyond the named ones
+are not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .components import components
-from .textvec import BASE, Words, chunked, mix, prefix_hash, span_hash, windows
+from .textvec import BASE, Words, chunked, mix, windows
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
 HASHES, BAND, STEP = 128, 4, 32
@@ -44,7 +45,7 @@ def window_sets(data: np.ndarray, at: np.ndarray, n: int = WORDS) -> list[np.nda
     words = Words(data, at)
     if not len(words.starts):
         return [np.zeros(0, np.uint64)] * (len(at) - 1)
-    hashes = span_hash(prefix_hash(data), words.starts, words.ends)
+    hashes = words.hashes(data)
     here, keys = windows(hashes, words.doc, n)
     edge = np.searchsorted(words.doc[here], np.arange(len(at)))
     out = []
@@ -136,8 +137,9 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield held
 
 
-def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, the key (k1, k2) of its set, its size and signature."""
+def _signed(docs: DataFrame, words: int, keep: tuple[str, ...]) -> DataFrame:
+    """doc_id, the key (k1, k2) of its set, its size and signature, and the columns ``keep``."""
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,9 +147,9 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
                 found = window_sets(data, at, words)
                 with np.errstate(over="ignore"):
                     key = [[int(mix(s + np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for s in found] for c in (1, 2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(k, pa.int64()) for k in key), pa.array([len(s) for s in found], pa.int64()), pa.array([signature(s).tobytes() for s in found], pa.binary())], ["doc_id", "k1", "k2", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(k, pa.int64()) for k in key), pa.array([len(s) for s in found], pa.int64()), pa.array([signature(s).tobytes() for s in found], pa.binary()), *(batch.column(c).slice(i, j - i) for c in keep)], ["doc_id", "k1", "k2", "n", "sig", *keep])
 
-    return docs.mapInArrow(shared.tidy(run), "doc_id bigint, k1 bigint, k2 bigint, n bigint, sig binary")
+    return docs.mapInArrow(shared.tidy(run), "doc_id bigint, k1 bigint, k2 bigint, n bigint, sig binary" + kept)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,12 +256,13 @@ def _compare(need: dict[int, int], threshold: float):
     return run
 
 
-def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row a document: doc_id, text_class (the least doc_id of an equal set), class_id (the least doc_id of those
-    connected by links) and n_links (other documents of a similarity of at least the threshold, copies included)."""
-    named = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text).alias("text"))
+    connected by links) and n_links (other documents of a similarity of at least the threshold, copies included), and
+    the columns ``keep`` of docs."""
+    named = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text).alias("text"), *keep)
     need = least_matches(threshold, tolerance, range(STEP, HASHES + 1, STEP))
-    signed = shared.written(_signed(named, words), "signatures")
+    signed = shared.written(_signed(named, words, keep), "signatures")
     classes = shared.written(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     total = classes.count()
 
@@ -296,5 +299,5 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
     roots = components(found.where("other is not null").select(F.col("class_id").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("class_id"), "root")
     known = classes.select("k1", "k2", "class_id", "copies").join(counts, "class_id", "left").join(roots, "class_id", "left")
     known = known.select("k1", "k2", F.col("class_id").alias("text_class"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "class_id").alias("class_id"))
-    rows = signed.select("doc_id", "k1", "k2")
-    return shared.lookup(rows, known, ["k1", "k2"], "copies", max(1, total), "inner", spread=("doc_id",)).select("doc_id", "text_class", "class_id", "n_links")
+    rows = signed.select("doc_id", "k1", "k2", *keep)
+    return shared.lookup(rows, known, ["k1", "k2"], "copies", max(1, total), "inner", spread=("doc_id",)).select("doc_id", "text_class", "class_id", "n_links", *keep)

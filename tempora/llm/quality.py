@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .textvec import BASE, Words, chunked, mix, prefix_hash, span_hash
+from .textvec import BASE, Words, chunked, mix
 
 #: Bounds of the bits of a bin's number.
 LEAST_BITS, MOST_BITS = 17, 20
@@ -58,7 +58,7 @@ def features(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, n
     words = Words(data, at)
     if not len(words.starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes = span_hash(prefix_hash(data), words.starts, words.ends)
+    hashes = words.hashes(data)
     shapes = mix(_shapes(data, words, hashes) + np.uint64(1 << 40))
     keys, docs = [], []
     for base, longest, kind in ((hashes, 2, 1), (shapes, 4, 2)):

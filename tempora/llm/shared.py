@@ -54,10 +54,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one is set here: a new one
+    if Spark runs on one machine, else one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tempora-")
+        found = "file://" + tempfile.mkdtemp(prefix="tempora-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tempora"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 

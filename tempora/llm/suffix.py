@@ -15,7 +15,9 @@ are repeats. A run hash with more than MAX_FRAGMENTS distinct fragments is dealt
 instead, so no task holds more than that.
 
 Texts are bytes in UTF-8; null and empty texts have none. Rows are known by doc_id and a hash of their text: rows that
-repeat both are documents of their own and repeat each other whole. Matches never cross documents.
+repeat both are documents of their own and repeat each other whole. Matches never cross documents. Very long texts are
+cut into fragments piece by piece and lose nothing. Fragments, and the windows of hot run hashes, are known by 64 bits of
+a BLAKE2b digest beside the run hash. An empty table gives no rows; columns beyond the named ones are not looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .textvec import UNBASE, chunked, mix, powers, prefix_hash, span_hash
+from .textvec import UNBASE, chunked, digests, mix, powers, prefix_hash
 
 WIDTH, GRAM = 200, 32
 #: Bytes of a symbol of the suffix arrays; the bytes of a window beyond its whole words are a multiple of eight.
@@ -233,7 +235,7 @@ def cut(data: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.ndarra
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | (least[1:] != least[:-1]) | (row[1:] != row[:-1])
     a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return row[a], grams[least[a]], span_hash(prefix, a, b - 1 + width), a - at[row[a]], b - a, (least[a] - a) % WORD
+    return row[a], grams[least[a]], digests(data, a, b - 1 + width)[:, 0], a - at[row[a]], b - a, (least[a] - a) % WORD
 
 
 def _pieces(data: np.ndarray, at: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -299,9 +301,9 @@ def _windows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                raw = np.frombuffer(batch.column("raw")[k].as_buffer(), np.uint8)
+                raw = batch.column("raw")[k].as_buffer().to_pybytes()
                 a = np.arange(len(raw) - width + 1)
-                keys = span_hash(prefix_hash(raw), a, a + width)
+                keys = digests(raw, a, a + width)[:, 0]
                 same = pa.array(np.full(len(a), k))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in ("gram", "fragment", "copies")), pa.array(keys.view(np.int64)), pa.array(a.astype(np.int32))], ["gram", "fragment", "copies", "window", "a"])
 

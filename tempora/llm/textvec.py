@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 
 #: Bytes of text worked on at a time; a longer text is worked on alone.
 CHUNK = 1 << 19
+#: Longer strings aren't known by a polynomial modulo 2**64: there are texts of 1,024 bytes and more that it can't tell apart.
+SHORT = 32
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: A random number for each byte, and the odd base of the polynomial and its inverse modulo 2**64.
 BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -75,6 +78,22 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * powers(UNBASE, len(prefix))[starts] + (ends - starts).astype(np.uint64))
 
 
+def digests(data: np.ndarray | bytes, starts: np.ndarray, ends: np.ndarray, size: int = 8) -> np.ndarray:
+    """(n, size // 8) numbers of 64 bits, a BLAKE2b digest of each data[start:end]."""
+    raw = data if isinstance(data, bytes) else data.tobytes()
+    found = b"".join([hashlib.blake2b(raw[a:b], digest_size=size).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(found, "<u8").astype(np.uint64).reshape(-1, size // 8)
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]: by a polynomial, whose lower bits tell short strings apart only, up to SHORT
+    bytes; of longer ones a digest."""
+    out = span_hash(prefix_hash(data), starts, ends)
+    if len(long := np.flatnonzero(ends - starts > SHORT)):
+        out[long] = digests(data, starts[long], ends[long])[:, 0]
+    return out
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of a chunk: starts, ends, doc (row of each), first (len + 1 places of each row's first word)."""
 
@@ -94,7 +113,7 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self, data: np.ndarray) -> np.ndarray:
-        return span_hash(prefix_hash(data), self.starts, self.ends)
+        return word_hash(data, self.starts, self.ends)
 
 
 def windows(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

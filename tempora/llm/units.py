@@ -15,7 +15,8 @@ What stands earlier in the same text is known without the others; so a text send
 doc_ids are added up before the shuffle, and hot digests are joined back over salted partitions. A document gathers the
 digests of its own removed units, no more.
 
-Null texts have no units and stay null. Null doc_ids rank last. Rows that repeat a doc_id don't take units from each
+Null texts have no units and stay null. Very long texts are taken whole. An empty table gives no rows; columns
+beyond the named ones are not looked at. Null doc_ids rank last. Rows that repeat a doc_id don't take units from each
 other. Marks of wide scripts count as line breaks. Letters whose lower case is longer than themselves keep their case.
 """
 
@@ -33,12 +34,15 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .textvec import BASE, UNBASE, Words, chunked, mix, powers
+from .textvec import digests as digest_numbers
 
 MIN_WORDS = 5
 #: Words in a run, at least.
 RUN_WORDS = 25
 #: A stretch without marks of more words than LONG is cut after words of at most SHORT code points.
 LONG, SHORT = 12, 3
+#: Runs of more words than this are known by a digest of their words, not by a polynomial.
+LONG_RUN = 64
 _WHITE = re.compile(r"[\x20\x09-\x0D]+")
 _MARKS = "、。！，：；？"
 _WIDE = str.maketrans(dict.fromkeys(_MARKS, "\n"))
@@ -105,6 +109,10 @@ def _runs(data: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarray,
     for base in (hashes, mix(hashes + np.uint64(1))):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(base * powers(BASE, len(base)), dtype=np.uint64)])
         digests.append(mix((total[stop + 1] - total[first]) * powers(UNBASE, len(base))[first] + (stop - first).astype(np.uint64)))
+    long = np.flatnonzero(stop - first >= LONG_RUN)
+    if len(long):
+        known = digest_numbers(hashes.tobytes(), 8 * first[long], 8 * stop[long] + 8, 16)
+        digests[0][long], digests[1][long] = known[:, 0], known[:, 1]
     row = words.doc[first]
     begin = point[at[row]]
     return row, point[words.starts[first]] - begin, point[words.ends[stop]] - begin, digests[0].view(np.int64), (digests[1] >> np.uint64(32)).astype(np.uint32).view(np.int32).astype(np.int64)

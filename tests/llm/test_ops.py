@@ -92,6 +92,25 @@ def test_suffix_long(spark, docs, monkeypatch):
     assert sum(p[4].sum() for p in parts) == whole[4].sum() == len(data) - 199
 
 
+def _thue_morse(n):
+    """Two complementary texts that polynomials modulo 2**64 don't tell apart."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[k] for k in bits), "".join("ba"[k] for k in bits)
+
+
+def test_hashes_tell_texts_apart(spark):
+    from tempora.llm.textvec import Words, chunked
+
+    one, two = _thue_morse(4096)
+    lanes, bins = fingerprint.sums(pa.array([one, two, one]))
+    assert (lanes[0] != lanes[1]).all() and (lanes[0] == lanes[2]).all() and (bins[0] != bins[1]).any()
+    _, _, data, at = next(chunked(pa.array([one, two])))
+    assert len(set(Words(data, at).hashes(data).tolist())) == 2
+    runs = [" ".join({"a": "aaaa", "b": "bbbb"}[c] for c in t) for t in (one, two)]
+    got = units.dedup(spark.createDataFrame([*enumerate(runs), (2, runs[0])], "doc_id long, text string")).collect()
+    assert {r.doc_id: len(r.removed) for r in got} == {0: 0, 1: 0, 2: 1}
+
+
 def _graph(found, t=0.8):
     sets = {}
     for n, (i, text, *_) in enumerate(found):
@@ -125,6 +144,21 @@ def test_jaccard(docs, found, monkeypatch, block, bucket):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.join(docs).collect()) == _graph(found)
 
 
+def test_pipeline_keeps_texts_of_a_repeated_id(spark):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = spark.createDataFrame([(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "en", "s", 1), (None, "c " + a[::-1], "en", "s", 1), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates_stage(spark, rows, "").collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:2]) for r in kept) == [("1", "a0"), ("5", "b0"), ("None", ""), ("None", "c ")]
+
+
+def test_jaccard_tells_long_words_apart(spark):
+    one, two = _thue_morse(4096)
+    rows = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.join(rows).collect()) == [(1, 1, 1), (2, 2, 0), (3, 1, 1)]
+
+
 def _phrase_runs(text, least=25):
     """(start, end, words) of the runs of a text, one word at a time."""
     words = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(text)]
@@ -353,10 +387,22 @@ def test_pii(docs, found):
     assert all(got[i].spans == [] and got[i].redacted == t for i, t, *_ in found)
 
 
+def test_pii_of_planted_rows(docs, spark, found):
+    from test_plain import _scan
+
+    own = ["mail a.b+c@x-y.example.org now", "é 10.0.0.255, 300.1.1.1 and " + "0" * 5000 + ".1.1.1", "card 4111 1111 1111 1111, +44 (20) 7946-0958", "Token: abcdefghijklmnop1234", None, "a@b.c " * 20_000]
+    rows = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(own + own)], "doc_id long, text string, spans int, redacted string")
+    got = pii.find_spans(rows).collect()
+    assert len(got) == 12 and all([(s.kind, s.start, s.end) for s in r.spans if s.kind in pii.BASE_KINDS] == _scan(own[r.doc_id % 6] or "") for r in got)
+    assert {s.kind for r in got for s in r.spans} == {"email", "ip", "card", "phone", "secret"}
+
+
 def test_warc(spark, tmp_path):
-    raw = [(1, "u", b"x" * 200), (2, "a\r\nb", b"x" * 200), (3, None, None), (4, "u", b""), (5, "u", bytes(range(256)) * 700), (6, "u", b"WARC/1.1\r\n\r\nWARC/1.1\r\n" * 5), (7, "u", b"\r\n\r\nWARC/1.1"), (None, "q", b"abc"), (9, "é", b"abc"), (10, "v", b"x" * 200)]
+    raw = [(1, "u", b"x" * 200), (2, "a\r\nb", b"x" * 200), (3, None, None), (4, "u", b""), (5, "u", bytes(range(256)) * 700), (6, "u", b"WARC/1.1\r\n\r\nWARC/1.1\r\n" * 5), (7, "u", b"\r\n\r\nWARC/1.1"), (None, "q", b"abc"), (9, "é", b"abc"), (10, "v", b"x" * 200), (11, "http://h/" + "a" * 70_000, b"long address" * 20)]
     df = spark.createDataFrame(raw, "record_id long, uri string, payload binary")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")
     warc.write(warc.with_types(df), str(tmp_path / "w"), chunk=1000)
+    spark.conf.unset("spark.sql.files.maxRecordsPerFile")
     held, last = defaultdict(bytes), {}
     for r in warc.read_chunks(spark, str(tmp_path / "w")).collect():
         held[r.record_id] += bytes(r.data)

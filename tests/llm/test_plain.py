@@ -39,7 +39,7 @@ def test_lyndon_groups():
 
 def _scan(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x.lstrip("0")[:4] or 0) <= 255 for x in m[0].split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
         d = re.sub("[^0-9]", "", m[0])
         if 12 <= len(d) <= 19 and pii.luhn(d):
@@ -60,6 +60,9 @@ def test_pii_method_kinds():
     assert [s[0] for s in pii.find(t)] == ["iban", "ssn", "url", "email", "secret"] or {s[0] for s in pii.find(t)} >= {"iban", "ssn", "url", "secret"}
     assert pii.redact(None) is None and pii.redact("") == "" and pii.redact("mail a@b.co now") == "mail <EMAIL> now"
     assert pii.find("a clean text, of no one") == []
+    assert pii.find("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)] and pii.find("1" * 5000 + ".1.1.1") == []
+    assert pii.find("averyveryverylongcustomscheme+abcdefg" * 3 + "://u:p@h.com/x")[0] == ("url", 0, 111 + 14)
+    assert [pii.find(x + "Api_Key = abcdefghijklmnop1234") for x in ("", "İ\u00c9 ")] == [[("secret", 10, 30)], [("secret", 13, 33)]] and pii.find("9+.x://u:p@h.c")[0] == ("url", 3, 14)
 
 
 @pytest.mark.parametrize("seed", range(5))
