@@ -58,7 +58,8 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir; one is set where there is none)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tempora-")
+        # Machines of a cluster share no temporary folder, but the warehouse.
+        base = "file://" + tempfile.mkdtemp(prefix="tempora-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tempora"
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/tempora-{kind}-{uuid.uuid4().hex}"
     _paths.append((spark, path))
