@@ -28,9 +28,10 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Keeps one document, the one of the least doc_id, of each group connected by similarities of 0.8 or more."""
     shared.small_batches(spark)
     named = docs.select(*COLUMNS)
-    found = jaccard.join(named)
-    again = shared.written(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct(), "duplicates")
-    kept = named.join(shared.small(again), F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("_id"), "left_anti")
+    mark = F.xxhash64("text")  # rows that repeat a doc_id with another text go or stay by themselves
+    found = jaccard.join(named.withColumn("_mark", mark), keep=("_mark",))
+    again = shared.written(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_id"), "_mark").distinct(), "duplicates")
+    kept = named.join(shared.small(again), (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("_id")) & (mark == F.col("_mark")), "left_anti")
     if named.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept
