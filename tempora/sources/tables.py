@@ -79,4 +79,4 @@ def term_statistics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 def stop_words(spark: SparkSession, path: str) -> frozenset[str]:
     """A stop list: one word a line."""
-    return frozenset(r.value.strip() for r in spark.read.text(path).where("trim(value) <> ''").limit(100_000).collect())
+    return frozenset(r.value.strip() for r in spark.read.text(path).where("trim(value) <> ''").collect())
