@@ -53,3 +53,13 @@ def test_components_that_are_stars_take_no_round(spark, leaves):
     assert sorted((r.node, r.root) for r in got) == _plain(edges)
     assert len(leaves) == 1
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_pipeline_plans_of_near_duplicates_stay_small(spark, leaves):
+    import corpus_pipeline
+
+    text = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([*text[:20], f"x{i}", *text[21:]] if i % 2 else text), "en", "s", 1) for i in range(5)] + [(9, "another text", "en", "s", 1)]
+    kept = corpus_pipeline.near_duplicates_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 9]
+    assert max(leaves) <= 20
