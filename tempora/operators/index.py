@@ -76,18 +76,31 @@ def _clean() -> None:
             return
 
 
+def counted(words: DataFrame) -> DataFrame:
+    """id, screen_name, term, tf, dl of rows (id, screen_name, words) that lie in partitions by id. A document's words are
+    sorted and its runs counted within its row, so that tasks hold documents and not counts of all their terms; rows of
+    one document add up before. Terms come in order."""
+    docs = words.groupBy("id", "screen_name").agg(F.sort_array(F.flatten(F.collect_list("words"))).alias("words"))
+    docs = docs.withColumn("dl", F.sum(F.size("words")).over(Window.partitionBy("id"))).where(F.size("words") > 0)
+    # Where each run of equal words ends.
+    last = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: ~F.get("words", i).eqNullSafe(F.get("words", i + 1)))
+    docs = docs.withColumn("last", last)
+    runs = F.transform("last", lambda e, k: F.struct(F.get("words", e).alias("term"), (e - F.coalesce(F.get("last", k - 1), F.lit(-1))).cast("bigint").alias("tf")))
+    return docs.select("id", "screen_name", "dl", F.inline(runs)).select("id", "screen_name", "term", "tf", "dl")
+
+
 def build(statuses: DataFrame, path: str, analyze: Callable[[Column], Column] = word_tokens) -> None:
-    """Writes the index (overwriting): statuses in ranges of time, and each posting twice, in ranges of terms (postings)
-    and of ids (vectors), so that filters on those skip files and row groups."""
+    """Writes the index (overwriting): statuses in files sorted by time, and each posting twice, in ranges of terms
+    (postings) and of ids (vectors), so that filters on those skip files, row groups and pages."""
     spark = statuses.sparkSession
-    statuses.repartitionByRange("epoch").sortWithinPartitions("epoch").write.mode("overwrite").parquet(f"{path}/statuses")
+    statuses.sortWithinPartitions("epoch").write.mode("overwrite").parquet(f"{path}/statuses")
     kept = spark.read.parquet(f"{path}/statuses")
     # A posting carries its document's length, so that scoring needs no other table. Texts move once, to ranges of ids;
     # the counts of a document are then made where it lies. Ranges of terms are split by id within a common term.
-    placed = kept.select("id", "screen_name", "text").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
-    postings(placed, analyze).withColumn("dl", F.sum("tf").over(Window.partitionBy("id"))).sortWithinPartitions("id", "term").write.mode("overwrite").parquet(f"{path}/vectors")
+    placed = kept.select("id", F.lower("screen_name").alias("screen_name"), "text").repartitionByRange(tables.pieces(kept), "id")
+    counted(placed.select("id", "screen_name", analyze(F.col("text")).alias("words"))).write.mode("overwrite").parquet(f"{path}/vectors")
     found = spark.read.parquet(f"{path}/vectors")
-    found.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    found.repartitionByRange(tables.pieces(found), "term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
     doc_lengths(found).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/doclen")
     found = spark.read.parquet(f"{path}/postings")
     term_stats(found).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")

@@ -20,12 +20,25 @@ def seconds(name: str) -> Column:
     return F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', CAST({name} AS TIMESTAMP_NTZ))").cast("bigint")
 
 
+#: Bytes of files for each partition of a step, whatever the session's number of partitions is.
+PIECE = 16 << 20
+
+
+def pieces(read: DataFrame, least: int | None = None) -> int:
+    """In how many partitions a step deals a table that is read from files, so that no task's share grows with the table."""
+    size = int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(read.sparkSession.sparkContext.defaultParallelism if least is None else least, -(-size // PIECE))
+
+
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as statuses: each with its event's time, and counts of its event's user."""
+    """Documents as statuses: each with its event's time, and counts of its event's user. Events meet their users first,
+    so that texts move once."""
     events = table(spark, sf_dir, "events")
     users = events.groupBy("user_id").agg(F.count("*").alias("statuses_count"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    joined = docs.join(events, docs.doc_id == events.event_id).join(users, "user_id")
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", "lang", "source").repartition(pieces(docs), "doc_id")
+    timed = events.join(users, "user_id")
+    joined = docs.join(timed, docs.doc_id == timed.event_id)
     return joined.select(
         F.col("doc_id").alias("id"), F.col("source").alias("screen_name"), "text", "lang", seconds("ts").alias("epoch"),
         F.when(F.col("event_type") == "signup", F.col("doc_id") + 1000000).otherwise(F.lit(0)).cast("bigint").alias("retweeted_status_id"),

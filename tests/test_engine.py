@@ -1,6 +1,7 @@
 import gzip
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -40,6 +41,48 @@ def test_term_ranges_skip_files(spark, sf_dir):
     assert "GreaterThanOrEqual(term,th)" in found._jdf.queryExecution().toString() and "LessThan(term,ti)" in found._jdf.queryExecution().toString()
 
 
+def test_texts_move_once_to_their_times(spark, sf_dir):
+    """However large events are, the join of statuses sends texts through one exchange."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        told = tables.statuses(spark, sf_dir)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", told)
+    assert len(moved) >= 3 and sum("text#" in x for x in moved) == 1
+
+
+def test_index_deals_by_size(spark, sf_dir, tmp_path, monkeypatch):
+    """A session of one partition doesn't put all documents, or all their postings, in one task."""
+    monkeypatch.setattr(tables, "PIECE", 1 << 15, raising=False)
+    wanted = {"spark.sql.shuffle.partitions": "1", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        index.build(tables.statuses(spark, sf_dir), str(tmp_path / "index"))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for name in ("statuses", "vectors", "postings"):
+        assert len(list((tmp_path / "index" / name).glob("part-*"))) > 4, name
+    assert rows(index.read(spark, str(tmp_path / "index"))["postings"].toPandas()) == rows(index.of(spark, sf_dir)["postings"].toPandas())
+
+
+def test_index_counts_rows_of_one_document_together(spark, tmp_path):
+    """Rows of one id add up by name, lengths over all names; rows without words leave no posting."""
+    made = [(1, "A", "x y x", 5), (1, "a", "Y z", 6), (1, "b", "x", 5), (2, None, "q q", 1), (3, "c", None, 2), (4, "c", "", 2), (5, "c", "-- !", 3), (6, "d", "b a c a b a", 9)]
+    statuses = spark.createDataFrame(made, "id bigint, screen_name string, text string, epoch bigint")
+    index.build(statuses, str(tmp_path / "index"))
+    found = index.read(spark, str(tmp_path / "index"))
+    wanted = {(1, "a", "x", 2, 6), (1, "a", "y", 2, 6), (1, "a", "z", 1, 6), (1, "b", "x", 1, 6), (2, None, "q", 2, 2), (6, "d", "a", 3, 6), (6, "d", "b", 2, 6), (6, "d", "c", 1, 6)}
+    for name in ("postings", "vectors"):
+        got = [(r.id, r.screen_name, r.term, r.tf, r.dl) for r in found[name].collect()]
+        assert len(got) == len(wanted) and set(got) == wanted, name
+    assert found["statuses"].count() == len(made) and {(r.id, r.screen_name, r.dl, r.dt, r.mt) for r in found["doclen"].collect()} == {(1, "a", 5, 3, 2), (1, "b", 1, 1, 1), (2, None, 2, 1, 2), (6, "d", 6, 3, 3)}
+
+
 def test_sample_is_even(spark, sf_dir):
     ids = index.of(spark, sf_dir)["statuses"].select("id")
     n = ids.count()
