@@ -1,4 +1,5 @@
 import gzip
+import html
 import json
 import math
 import re
@@ -223,6 +224,18 @@ def test_compact(spark, tmp_path):
     assert len(list((tmp_path / "b").glob("part-*"))) == 1 and spark.read.parquet(str(tmp_path / "b")).count() == 100
 
 
+def test_texts_stay_out_of_python(spark):
+    """Entities are blanked by Spark itself, and only references to characters are sent to Python to be unescaped."""
+    texts = ["hi @bob/x http://t.co/x x.com/y #été #²x #12 ＃東京", "a &amp; b &lt &#65;&#x42; &notit; &bogus; &#xD800; caf&eacute;", "a." * 5000, "#" + "1" * 5000 + "x", None, "", "&", "no entity"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert "Python" not in df.select(T.blank_entities(df.text))._jdf.queryExecution().executedPlan().toString()
+    sent = re.findall(r"(?:ArrowEvalPython|PythonUDF)[^\n]*", df.select(T.unescape_html(df.text))._jdf.queryExecution().optimizedPlan().toString())
+    assert sent and all("array" in x or "regexp_extract_all" in x or "run(_" in x for x in sent) and not any("run(text" in x for x in sent)
+    found = re.compile(rf"{T.URL}|{T.MENTION}|[#＃]\w*[^\W\d]\w*")
+    for t, blank, plain in df.select("text", T.blank_entities(df.text), T.unescape_html(df.text)).collect():
+        assert (blank, plain) == ((None, None) if t is None else (found.sub(lambda m: " " * len(m[0]), t), html.unescape(t)))
+
+
 def test_text_keeps_length(spark):
     df = spark.createDataFrame([("hi @bob http://t.co/x #tag &amp; 5",), (None,), ("",)], "text string")
     got = [tuple(r) for r in df.select(T.blank_entities(df.text), T.clean(df.text)).collect()]
