@@ -49,3 +49,19 @@ def test_analyzer_on_spark(spark):
 
     got = {r.id: r.terms for r in analyze(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(GOLDEN)] + [(99, None)], "id int, text string")).collect()}
     assert got[99] == [] and all(got[i] == e.split() for i, (_, e) in enumerate(GOLDEN))
+
+
+def test_a_word_is_analyzed_once(monkeypatch):
+    """However often a word comes, its terms are looked up whole; long words aren't kept, and what is kept is bounded."""
+    from tempora.functions import analysis
+
+    asked, split = [], analysis.split
+    monkeypatch.setattr(analysis, "split", lambda *a: asked.append(a[0]) or split(*a))
+    stop = frozenset({"the", "once"})
+    for _ in range(50):
+        assert analysis.tokens("The dogs, #Tag running. http://t.co/X dogs", stop) == ["dog", "#tag", "run", "http://t.co/X", "dog"]
+    assert len(asked) == 6
+    monkeypatch.setattr(analysis._Known, "MOST", 100)
+    analysis.tokens(" ".join(f"w{i}" for i in range(1000)) + " " + "x" * 1000, stop)
+    known = analysis._known(stop, True, False, frozenset())
+    assert len(known) <= 100 and "x" * 1000 not in known
